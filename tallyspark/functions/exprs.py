@@ -115,7 +115,7 @@ def salary_of(dept: ColumnOrName, departments: list[str] | None = None) -> Colum
 def round_half_up(x: ColumnOrName, decimals: int = config.OUTPUT_DECIMALS) -> Column:
     """Scale, round half away from zero, unscale (the common engine rounding)."""
     m = float(10 ** decimals)
-    return F.round(_c(x).cast("double") * m) / m
+    return F.round(_c(x).cast("double") * m) / m + F.lit(0.0)   # + 0.0 folds -0.0 into 0.0
 
 
 def round_half_even(x: ColumnOrName, decimals: int = 2) -> Column:

@@ -93,7 +93,11 @@ BASE = with_(PROJ, WH, PW, FS)
 
 
 def r(col: str, alias: str | None = None, d: int = config.OUTPUT_DECIMALS) -> str:
-    return f"round(CAST({col} AS DOUBLE), {d}) AS {alias or col}"
+    return f"(round(CAST({col} AS DOUBLE), {d}) + 0.0) AS {q(alias or col)}"
+
+
+def q(name: str) -> str:
+    return f'"{name}"' if not name.isidentifier() else name
 
 
 def rnd(cols: list[str]) -> str:
@@ -159,3 +163,144 @@ FROM (SELECT {money('ContractPrice')} AS rev, {money('TotalCost')} AS cost, {mon
     q["profitable_projects"] = _top("Profit", 20, True, pcols, "Profit > 0")
     q["loss_making_projects"] = _top("Profit", 20, False, pcols, "Profit < 0")
     return q
+
+
+# ---------------------------------------------------------------------------
+# Features (B4-B8)
+# ---------------------------------------------------------------------------
+
+def _z(x: str, y: str) -> str:
+    """X / (y with 0 replaced by 1)."""
+    return f"({x}) / (CASE WHEN ({y}) = 0 THEN 1 ELSE ({y}) END)"
+
+
+FEATURE_INT_COLS = {"row_id", "row_no", "Hours_count", "Department_nunique", "Department_count", "Task_nunique",
+                    "IsGS", "Success", "ProjectDuration", "RevenuePerHour_IsExtreme", "CostPerHour_IsExtreme",
+                    "WorkConcentration_IsExtreme", "UnusualCostRatio"}
+FEATURE_STR_COLS = {"ProjectCode", "ProjectName", "ProjectType", "Status", "ColorCode"}
+
+
+def feature_columns(keys: list[str], windows=config.TIME_WINDOWS) -> list[str]:
+    cols = ["row_id", "row_no", "ProjectCode", "ProjectName", "ProjectType", "ContractPrice", "PurchaseCost",
+            "Status", "ColorCode", "Profit", "ProfitMargin", "TotalCost", "LaborCost", "EfficiencyScore",
+            "TotalHours", "Hours_sum", "Hours_mean", "Hours_std", "Hours_max", "Hours_min", "Hours_count",
+            "Department_nunique", "Department_count", "Task_nunique", "CostRevenueRatio", "RevenuePerHour",
+            "CostPerHour", "IsGS", "Success", "ProjectDuration"]
+    cols += [f"Hours_First_{n}_Days" for n in windows]
+    cols += ["WorkIntensityEarly", "WorkAcceleration", "DepartmentDiversity"]
+    for k in keys:
+        cols += [f"{k}_Hours", f"{k}_Proportion"]
+    cols += ["AvgDeptPerPeriod", "TasksPerHour", "HoursPerDepartment", "WorkConcentration", "WorkVariability",
+             "MarginPotential"]
+    for c in ["RevenuePerHour", "CostPerHour", "WorkConcentration"]:
+        cols += [f"{c}_ZScore", f"{c}_IsExtreme"]
+    cols += ["UnusualCostRatio", "ComplexityScore"]
+    return cols
+
+
+def feature_ctes(keys: list[str], windows=config.TIME_WINDOWS) -> list[str]:
+    w0, w1 = windows[0], windows[1]
+    first = ",\n         ".join(
+        f"coalesce(sum(CASE WHEN w.DateStart <= d.d0 + {n} THEN w.h END), 0) AS Hours_First_{n}_Days"
+        for n in windows)
+    keyh = ", ".join(f'sum(CASE WHEN Department = \'{k}\' THEN dh END) AS "{k}_Hours"' for k in keys)
+    keyp = ",\n         ".join(
+        f'coalesce("{k}_Hours", 0) AS "{k}_Hours", {_z(f"coalesce(\"{k}_Hours\", 0)", "Hours_sum")} AS "{k}_Proportion"'
+        for k in keys)
+    keys_excl = ", ".join(f'"{k}_Hours"' for k in keys)
+    return [
+        """proj_f AS (
+  SELECT p.*, f.Profit, f.ProfitMargin, f.TotalCost, f.LaborCost, f.EfficiencyScore, f.TotalHours
+  FROM proj_c p LEFT JOIN fs f ON p.row_id = f.row_id)""",
+        """whd AS (SELECT *, CAST(try_strptime('1900/' || split_part(Date, '-', 1), '%Y/%m/%d') AS DATE) AS DateStart
+  FROM wh WHERE ProjectCode IS NOT NULL)""",
+        """base AS (
+  SELECT ProjectCode, sum(Hours) AS Hours_sum, avg(Hours) AS Hours_mean, stddev_samp(Hours) AS Hours_std,
+         max(Hours) AS Hours_max, min(Hours) AS Hours_min, count(Hours) AS Hours_count,
+         count(DISTINCT Department) AS Department_nunique, count(Department) AS Department_count,
+         count(DISTINCT Task) AS Task_nunique
+  FROM wh WHERE ProjectCode IS NOT NULL GROUP BY ProjectCode)""",
+        """daily AS (SELECT ProjectCode, DateStart, sum(Hours) AS h FROM whd GROUP BY ProjectCode, DateStart)""",
+        """dd AS (SELECT ProjectCode, min(DateStart) AS d0, max(DateStart) AS d1 FROM daily GROUP BY ProjectCode)""",
+        f"""tl AS (
+  SELECT w.ProjectCode, any_value(date_diff('day', d.d0, d.d1)) AS ProjectDuration,
+         {first}
+  FROM daily w JOIN dd d ON w.ProjectCode = d.ProjectCode GROUP BY w.ProjectCode)""",
+        """dm AS (
+  SELECT ProjectCode, Department, sum(Hours) AS dh FROM wh
+  WHERE ProjectCode IS NOT NULL AND Department IS NOT NULL GROUP BY ProjectCode, Department)""",
+        """dm2 AS (SELECT *, sum(dh) OVER (PARTITION BY ProjectCode) AS tot FROM dm)""",
+        f"""mix AS (
+  SELECT ProjectCode,
+         -coalesce(sum(CASE WHEN tot <> 0 THEN (dh / tot) * log2(dh / tot + 1e-10) END), 0) AS DepartmentDiversity,
+         {keyh}
+  FROM dm2 GROUP BY ProjectCode)""",
+        """co AS (
+  SELECT ProjectCode, avg(nd) AS AvgDeptPerPeriod FROM (
+    SELECT ProjectCode, Date, count(DISTINCT Department) AS nd FROM wh
+    WHERE ProjectCode IS NOT NULL AND Date IS NOT NULL GROUP BY ProjectCode, Date) GROUP BY ProjectCode)""",
+        f"""f1 AS (
+  SELECT p.*, b.Hours_sum, b.Hours_mean, b.Hours_std, b.Hours_max, b.Hours_min, b.Hours_count,
+         b.Department_nunique, b.Department_count, b.Task_nunique,
+         {_z('p.PurchaseCost', 'p.ContractPrice')} AS CostRevenueRatio,
+         {_z('p.ContractPrice', 'b.Hours_sum')} AS RevenuePerHour,
+         {_z('p.PurchaseCost', 'b.Hours_sum')} AS CostPerHour,
+         CAST(p.ProjectType = 'GS' AS INTEGER) AS IsGS,
+         CASE p.Status WHEN 'Success' THEN 1 WHEN 'Negotiation' THEN 0 WHEN 'In Progress' THEN -1
+                       WHEN 'Fail' THEN 0 WHEN 'Unknown' THEN -1 END AS Success,
+         t.* EXCLUDE (ProjectCode), m.* EXCLUDE (ProjectCode), c.AvgDeptPerPeriod
+  FROM proj_f p LEFT JOIN base b ON p.ProjectCode = b.ProjectCode
+  LEFT JOIN tl t ON p.ProjectCode = t.ProjectCode
+  LEFT JOIN mix m ON p.ProjectCode = m.ProjectCode
+  LEFT JOIN co c ON p.ProjectCode = c.ProjectCode)""",
+        f"""f2 AS (
+  SELECT * EXCLUDE ({keys_excl}),
+         {_z(f'Hours_First_{w0}_Days', 'Hours_sum')} AS WorkIntensityEarly,
+         (Hours_First_{w1}_Days - Hours_First_{w0}_Days) / 7 AS WorkAcceleration,
+         {keyp},
+         {_z('Task_nunique', 'Hours_sum')} AS TasksPerHour,
+         {_z('Hours_sum', 'Department_nunique')} AS HoursPerDepartment,
+         {_z('Hours_max', 'Hours_mean')} AS WorkConcentration,
+         {_z('Hours_std', 'Hours_mean')} AS WorkVariability,
+         1 - CostRevenueRatio AS MarginPotential
+  FROM f1)""",
+        """st AS (
+  SELECT avg(RevenuePerHour) AS mu1, stddev_samp(RevenuePerHour) AS sd1,
+         avg(CostPerHour) AS mu2, stddev_samp(CostPerHour) AS sd2,
+         avg(WorkConcentration) AS mu3, stddev_samp(WorkConcentration) AS sd3,
+         quantile_cont(CostRevenueRatio, 0.5) AS crr_med FROM f2)""",
+        f"""feat AS (
+  SELECT f2.*,
+         (RevenuePerHour - mu1) / nullif(sd1, 0) AS RevenuePerHour_ZScore,
+         CAST(coalesce(abs((RevenuePerHour - mu1) / nullif(sd1, 0)) > {config.EFFICIENCY_ZSCORE}, false) AS INTEGER) AS RevenuePerHour_IsExtreme,
+         (CostPerHour - mu2) / nullif(sd2, 0) AS CostPerHour_ZScore,
+         CAST(coalesce(abs((CostPerHour - mu2) / nullif(sd2, 0)) > {config.EFFICIENCY_ZSCORE}, false) AS INTEGER) AS CostPerHour_IsExtreme,
+         (WorkConcentration - mu3) / nullif(sd3, 0) AS WorkConcentration_ZScore,
+         CAST(coalesce(abs((WorkConcentration - mu3) / nullif(sd3, 0)) > {config.EFFICIENCY_ZSCORE}, false) AS INTEGER) AS WorkConcentration_IsExtreme,
+         CAST(coalesce(abs(CostRevenueRatio - crr_med) > {config.COST_VARIANCE}, false) AS INTEGER) AS UnusualCostRatio,
+         {_z('Department_nunique * Task_nunique', 'Hours_sum')} AS ComplexityScore
+  FROM f2, st)""",
+    ]
+
+
+FEAT_BASE = lambda keys: with_(PROJ, WH, PW, FS, *feature_ctes(keys))
+
+
+def select_rounded(cols: list[str], src: str, int_cols=FEATURE_INT_COLS, str_cols=FEATURE_STR_COLS) -> str:
+    parts = [q(c) if (c in int_cols or c in str_cols) else r(q(c), c) for c in cols]
+    return f"SELECT {', '.join(parts)} FROM {src}"
+
+
+def features_sql(keys: list[str]) -> dict[str, str]:
+    base = FEAT_BASE(keys)
+    out = {}
+    out["features"] = base + select_rounded(feature_columns(keys), "feat")
+    out["feature_base_aggregates"] = base + select_rounded(["ProjectCode"] + [
+        "Hours_sum", "Hours_mean", "Hours_std", "Hours_max", "Hours_min", "Hours_count",
+        "Department_nunique", "Department_count", "Task_nunique"], "base")
+    out["feature_timeline"] = base + select_rounded(
+        ["ProjectCode", "ProjectDuration"] + [f"Hours_First_{n}_Days" for n in config.TIME_WINDOWS], "tl")
+    out["feature_department_mix"] = base + select_rounded(
+        ["ProjectCode", "DepartmentDiversity"] + [f"{k}_Hours" for k in keys], "mix")
+    out["feature_collaboration"] = base + select_rounded(["ProjectCode", "AvgDeptPerPeriod"], "co")
+    return out

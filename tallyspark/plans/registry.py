@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import config
 from tallyspark.functions.exprs import round_doubles
+from tallyspark.operators import features as feat
 from tallyspark.operators import finance
 from tallyspark.sources import given
 
@@ -51,9 +52,31 @@ def _finance() -> dict[str, Query]:
     return q
 
 
+KEYS = config.GIVEN_KEY_DEPARTMENTS
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4 over the un-imputed projects merged with their financials."""
+    p, wh = _inputs(spark, sf_dir)
+    fs = finance.financial_summary(p, wh, DEPTS)
+    return feat.create_features(wh, finance.merge_financials(p, fs), KEYS)
+
+
+def _feature_queries() -> dict[str, Query]:
+    q: dict[str, Query] = {}
+    wh = given.work_hours
+    q["features"] = lambda s, d: round_doubles(_features(s, d))
+    q["feature_base_aggregates"] = lambda s, d: round_doubles(feat.base_aggregates(wh(s, d)))
+    q["feature_timeline"] = lambda s, d: round_doubles(feat.timeline(wh(s, d)))
+    q["feature_department_mix"] = lambda s, d: round_doubles(feat.department_mix(wh(s, d), KEYS))
+    q["feature_collaboration"] = lambda s, d: round_doubles(feat.collaboration(wh(s, d)))
+    return q
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q.update(_finance())
+    q.update(_feature_queries())
     return q
 
 
@@ -61,6 +84,7 @@ def oracle_sql() -> dict[str, str]:
     from tallyspark.plans import oracle
     s: dict[str, str] = {}
     s.update(oracle.finance_sql(ALL_BRANDS))
+    s.update(oracle.features_sql(KEYS))
     return s
 
 
