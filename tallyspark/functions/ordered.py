@@ -32,6 +32,15 @@ from pyspark.sql import functions as F
 from tallyspark.session import shuffle_partitions
 
 
+def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach a one-row frame of global scalars (means, quantiles) to every row.
+
+    The right side is a global aggregate -- exactly one row by construction --
+    so this is a broadcast of a few numbers, not a product of two tables.
+    """
+    return df.crossJoin(F.broadcast(one_row))
+
+
 def unpivot(df: DataFrame, id_cols: list[str], metrics: dict[str, Column | str]) -> DataFrame:
     """Long form ``(*id_cols, metric, value)``; ``metrics`` maps name -> expression."""
     structs = [

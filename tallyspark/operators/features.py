@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tallyspark import config
 from tallyspark.functions import ordered
 from tallyspark.functions.exprs import indicator, parse_month_day, ratio_zero_as_one, success_label
+from tallyspark.session import cut_lineage
 
 BASE_AGGS = ["Hours_sum", "Hours_mean", "Hours_std", "Hours_max", "Hours_min", "Hours_count",
              "Department_nunique", "Department_count", "Task_nunique"]
@@ -93,8 +94,13 @@ def collaboration(work_hours: DataFrame) -> DataFrame:
 
 def create_features(work_hours: DataFrame, projects: DataFrame,
                     key_departments: list[str] = config.KEY_DEPARTMENTS,
-                    windows: list[int] = config.TIME_WINDOWS) -> DataFrame:
-    """Projects (with the merged financial columns) -> feature table."""
+                    windows: list[int] = config.TIME_WINDOWS, checkpoint: bool = True) -> DataFrame:
+    """Projects (with the merged financial columns) -> feature table.
+
+    With ``checkpoint`` the joined per-project table is written to the
+    checkpoint folder before the global z-score / median pass, which reads it
+    three times (scalars, median, rows) -- lineage is cut once, not recomputed.
+    """
     f = projects.join(base_aggregates(work_hours), "ProjectCode", "left")
     # B5
     f = f.withColumn("CostRevenueRatio", ratio_zero_as_one("PurchaseCost", "ContractPrice"))
@@ -121,6 +127,8 @@ def create_features(work_hours: DataFrame, projects: DataFrame,
     f = f.withColumn("WorkConcentration", ratio_zero_as_one("Hours_max", "Hours_mean"))
     f = f.withColumn("WorkVariability", ratio_zero_as_one("Hours_std", "Hours_mean"))
     f = f.withColumn("MarginPotential", 1 - F.col("CostRevenueRatio"))
+    if checkpoint:
+        f = cut_lineage(f)
     return add_anomaly_indicators(f)
 
 
@@ -129,7 +137,7 @@ def add_anomaly_indicators(f: DataFrame) -> DataFrame:
     stats = f.agg(*[x for c in ZSCORE_COLUMNS
                     for x in (F.avg(c).alias(f"_{c}_mu"), F.stddev_samp(c).alias(f"_{c}_sd"))])
     med = ordered.quantile_row(f, {"CostRevenueRatio": [0.5]}, name=lambda m, p: "_crr_med")
-    g = f.crossJoin(stats.crossJoin(med))          # one-row side
+    g = ordered.attach_scalars(ordered.attach_scalars(f, stats), med)
     for c in ZSCORE_COLUMNS:
         z = F.try_divide(F.col(c) - F.col(f"_{c}_mu"), F.col(f"_{c}_sd"))
         g = g.withColumn(f"{c}_ZScore", z)

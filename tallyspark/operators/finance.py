@@ -125,7 +125,7 @@ def efficiency_distribution(summary: DataFrame, metric: str = "EfficiencyScore")
     q = ordered.quantile_row(summary, {metric: [0.25, 0.5, 0.75, 0.9]},
                              name=lambda m, p: f"p{int(round(p * 100))}")
     m = summary.agg(F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("std"))
-    return m.crossJoin(q).select("mean", F.col("p50").alias("median"), "std", "p25", "p50", "p75", "p90")
+    return ordered.attach_scalars(m, q).select("mean", F.col("p50").alias("median"), "std", "p25", "p50", "p75", "p90")
 
 
 def overall_profitability(summary: DataFrame) -> DataFrame:

@@ -304,3 +304,202 @@ def features_sql(keys: list[str]) -> dict[str, str]:
         ["ProjectCode", "DepartmentDiversity"] + [f"{k}_Hours" for k in keys], "mix")
     out["feature_collaboration"] = base + select_rounded(["ProjectCode", "AvgDeptPerPeriod"], "co")
     return out
+
+
+# ---------------------------------------------------------------------------
+# Rule anomalies
+# ---------------------------------------------------------------------------
+
+def rules_sql(keys: list[str]) -> dict[str, str]:
+    base = FEAT_BASE(keys)
+    cost = f""", cr AS (SELECT feat.*, {_z('PurchaseCost', 'ContractPrice')} AS ratio FROM feat),
+crm AS (SELECT quantile_cont(ratio, 0.5) AS med FROM cr),
+cost_a AS (SELECT cr.*, 'cost' AS anomaly_type, ratio - med AS cost_ratio_deviation FROM cr, crm
+           WHERE coalesce(abs(ratio - med) > {config.COST_VARIANCE}, false) OR coalesce(Profit < 0, false)),
+eff_s AS (SELECT avg(TasksPerHour) AS mu, stddev_samp(TasksPerHour) AS sd FROM feat),
+eff_a AS (SELECT feat.*, 'efficiency' AS anomaly_type, (TasksPerHour - mu) / nullif(sd, 0) AS efficiency_zscore
+          FROM feat, eff_s WHERE abs((TasksPerHour - mu) / nullif(sd, 0)) > {config.EFFICIENCY_ZSCORE}),
+pats AS (SELECT ProjectCode, list_sort(list_distinct(list(Department))) AS pat FROM wh
+         WHERE ProjectCode IS NOT NULL GROUP BY ProjectCode),
+pat_a AS (SELECT min(ProjectCode) AS ProjectCode, 'pattern' AS anomaly_type, pat FROM pats
+          GROUP BY pat HAVING count(*) = 1)
+"""
+    b = base.rstrip("\n") + cost
+    out = {}
+    out["cost_anomalies"] = b + f"""SELECT row_id, ProjectCode, anomaly_type, {r('ratio', 'CostRevenueRatio')},
+  {r('Profit')}, {r('cost_ratio_deviation')} FROM cost_a"""
+    out["efficiency_anomalies"] = b + f"""SELECT row_id, ProjectCode, anomaly_type, {r('TasksPerHour')},
+  {r('efficiency_zscore')} FROM eff_a"""
+    out["pattern_anomalies"] = b + "SELECT ProjectCode, anomaly_type, array_to_string(pat, '|') AS department_pattern FROM pat_a"
+    out["anomaly_counts"] = b + """SELECT t.anomaly_type, coalesce(n, 0) AS count FROM
+  (VALUES ('cost'), ('efficiency'), ('pattern')) t(anomaly_type) LEFT JOIN (
+    SELECT anomaly_type, count(*) AS n FROM (
+      SELECT anomaly_type FROM cost_a UNION ALL SELECT anomaly_type FROM eff_a
+      UNION ALL SELECT anomaly_type FROM pat_a) GROUP BY anomaly_type) c ON t.anomaly_type = c.anomaly_type"""
+    return out
+
+
+# ---------------------------------------------------------------------------
+# Risk scoring (B12-B17) and summaries
+# ---------------------------------------------------------------------------
+
+def _prank(expr: str, part: str) -> str:
+    return (f"(CASE WHEN {part} IS NULL THEN NULL ELSE (rank() OVER (ORDER BY {expr}) + "
+            f"(count(*) OVER (PARTITION BY {part}) - 1) / CAST(2 AS DOUBLE)) / count({part}) OVER () END)")
+
+
+def risk_ctes(src: str, cols: set[str], mode: str = "percentile") -> list[str]:
+    """CTEs ending in ``risk`` over the table ``src`` with columns ``cols``."""
+    med_cols = [c for c in ["CostRevenueRatio", "ProfitMargin", "RevenuePerHour", "EfficiencyScore",
+                            "HoursPerTask", "NumDepartments", "NumTasks", "DepartmentDiversity",
+                            "WorkIntensityEarly", "ProjectDuration"] if c in cols]
+    meds = ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in med_cols)
+    fills = ", ".join(f"coalesce(CAST({c} AS DOUBLE), m_{c}) AS f_{c}" for c in med_cols)
+    zfill = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS f_{c}" for c in ["WorkVariability", "WorkAcceleration"]
+                      if c in cols)
+    ctes = [f"rmed AS (SELECT {meds} FROM {src})",
+            f"rfil AS (SELECT {src}.*, {fills}{', ' + zfill if zfill else ''} FROM {src}, rmed)"]
+    qs = []
+    if "ProjectDuration" in cols:
+        qs.append("quantile_cont(f_ProjectDuration, 0.75) AS q75_dur")
+    if mode == "threshold":
+        for c, p, nm in [("RevenuePerHour", 0.25, "q25_rph"), ("HoursPerTask", 0.75, "q75_hpt"),
+                         ("NumTasks", 0.8, "q80_nt"), ("DepartmentDiversity", 0.1, "q10_div"),
+                         ("DepartmentDiversity", 0.9, "q90_div")]:
+            if c in cols:
+                qs.append(f"quantile_cont(f_{c}, {p}) AS {nm}")
+        if "EfficiencyScore" in cols:
+            qs += ["avg(f_EfficiencyScore) AS eff_mu", "stddev_samp(f_EfficiencyScore) AS eff_sd"]
+    ctes.append(f"rq AS (SELECT {', '.join(qs) if qs else '1 AS dummy'} FROM rfil)")
+    ranks = []
+    if mode == "percentile":
+        for c, neg in [("CostRevenueRatio", False), ("ProfitMargin", True), ("RevenuePerHour", True),
+                       ("EfficiencyScore", True), ("HoursPerTask", False), ("WorkVariability", False),
+                       ("NumDepartments", False), ("NumTasks", False), ("DepartmentDiversity", False)]:
+            if c in cols:
+                key = f"round(f_{c}, 9)"
+                ranks.append(f"{_prank(('-' if neg else '') + key, key)} AS r_{c}")
+    ctes.append(f"rrk AS (SELECT rfil.*, rq.*{', ' + ', '.join(ranks) if ranks else ''} FROM rfil, rq)")
+
+    def add(terms):
+        return " + ".join(["CAST(0 AS DOUBLE)"] + terms)
+
+    fin, eff, cx, tl = [], [], [], []
+    if mode == "percentile":
+        fin = [f"r_{c} * {w}" for c, w in [("CostRevenueRatio", 40), ("ProfitMargin", 30), ("RevenuePerHour", 30)]
+               if c in cols]
+        eff = [f"r_{c} * {w}" for c, w in [("EfficiencyScore", 40), ("HoursPerTask", 30), ("WorkVariability", 30)]
+               if c in cols]
+        cx = [f"r_{c} * {w}" for c, w in [("NumDepartments", 35), ("NumTasks", 35)] if c in cols]
+        if "DepartmentDiversity" in cols:
+            cx.append("abs(r_DepartmentDiversity - 0.5) * 2 * 30")
+    else:
+        if "CostRevenueRatio" in cols:
+            fin.append("least(greatest((f_CostRevenueRatio - CAST(0.7 AS DOUBLE)) * 100, 0), 40)")
+        if "ProfitMargin" in cols:
+            fin.append("(CASE WHEN f_ProfitMargin < 0 THEN 40 WHEN f_ProfitMargin < 10 THEN 20 - f_ProfitMargin * 2 ELSE 0 END)")
+        if "RevenuePerHour" in cols:
+            fin.append("(CASE WHEN f_RevenuePerHour < q25_rph THEN 20 ELSE 0 END)")
+        if "EfficiencyScore" in cols:
+            z = "((f_EfficiencyScore - eff_mu) / eff_sd)"
+            eff.append(f"(CASE WHEN {z} < -1 THEN 30 WHEN {z} < 0 THEN 15 ELSE 0 END)")
+        if "HoursPerTask" in cols:
+            eff.append("(CASE WHEN f_HoursPerTask > q75_hpt THEN 20 ELSE 0 END)")
+        if "WorkVariability" in cols:
+            eff.append("least(greatest(f_WorkVariability * 20, 0), 30)")
+        if "NumDepartments" in cols:
+            eff_nd = "(CASE WHEN f_NumDepartments > 10 THEN 30 WHEN f_NumDepartments > 7 THEN 20 WHEN f_NumDepartments > 5 THEN 10 ELSE 0 END)"
+            cx.append(eff_nd)
+        if "NumTasks" in cols:
+            cx.append("(CASE WHEN f_NumTasks > q80_nt THEN 25 ELSE 0 END)")
+        if "DepartmentDiversity" in cols:
+            cx.append("(CASE WHEN f_DepartmentDiversity < q10_div OR f_DepartmentDiversity > q90_div THEN 25 ELSE 0 END)")
+    if "WorkIntensityEarly" in cols:
+        tl.append("(CASE WHEN f_WorkIntensityEarly < 0.1 THEN 30 WHEN f_WorkIntensityEarly < 0.2 THEN 15 ELSE 0 END)")
+    if "WorkAcceleration" in cols:
+        tl.append("(CASE WHEN f_WorkAcceleration < -5 THEN 25 WHEN f_WorkAcceleration < 0 THEN 10 ELSE 0 END)")
+    if "ProjectDuration" in cols:
+        tl.append("(CASE WHEN f_ProjectDuration > q75_dur THEN 20 ELSE 0 END)")
+        tl.append("(CASE WHEN ProjectDuration IS NULL THEN 25 ELSE 0 END)")
+    clipped = lambda e: f"least(greatest({e}, 0), 100)"
+    ctes.append(f"""rcomp AS (
+  SELECT row_id, ProjectCode, {clipped(add(fin))} AS FinancialRisk, {clipped(add(eff))} AS EfficiencyRisk,
+         {clipped(add(cx))} AS ComplexityRisk, {clipped(add(tl))} AS TimelineRisk, CAST(0 AS DOUBLE) AS AnomalyRisk
+  FROM rrk)""")
+    total = " + ".join(["CAST(0 AS DOUBLE)"] + [f"{c} * CAST({w} AS DOUBLE)" for c, w in config.RISK_WEIGHTS])
+    levels = " ".join(f"WHEN t > {lo} AND t <= {hi} THEN '{nm}'" for nm, lo, hi in config.RISK_LEVELS)
+    ctes.append(f"""risk AS (
+  SELECT row_id, ProjectCode, t AS TotalRiskScore, FinancialRisk, EfficiencyRisk, ComplexityRisk, TimelineRisk,
+         AnomalyRisk, CASE {levels} END AS RiskLevel, t > {config.HIGH_RISK_THRESHOLD} AS IsHighRisk
+  FROM (SELECT *, {total} AS t FROM rcomp))""")
+    return ctes
+
+
+RISK_D = ["TotalRiskScore", "FinancialRisk", "EfficiencyRisk", "ComplexityRisk", "TimelineRisk", "AnomalyRisk"]
+
+
+def _risk_select(src: str = "risk") -> str:
+    return f"SELECT row_id, ProjectCode, {rnd(RISK_D)}, RiskLevel, IsHighRisk FROM {src}"
+
+
+def risk_sql(keys: list[str]) -> dict[str, str]:
+    fcols = set(feature_columns(keys))
+    full_cte = """featx AS (SELECT feat.*, fs.NumDepartments, fs.NumTasks,
+  CASE WHEN fs.NumTasks = 0 THEN NULL ELSE fs.TotalHours / fs.NumTasks END AS HoursPerTask
+  FROM feat JOIN fs ON feat.row_id = fs.row_id)"""
+    pipe = with_(PROJ, WH, PW, FS, *feature_ctes(keys), *risk_ctes("feat", fcols))
+    full = with_(PROJ, WH, PW, FS, *feature_ctes(keys), full_cte,
+                 *risk_ctes("featx", fcols | {"NumDepartments", "NumTasks", "HoursPerTask"}))
+    thr = with_(PROJ, WH, PW, FS, *feature_ctes(keys), *risk_ctes("feat", fcols, "threshold"))
+    out = {"risk_scores": pipe + _risk_select(),
+           "risk_scores_full": full + _risk_select(),
+           "risk_scores_threshold": thr + _risk_select()}
+    comp_keys = ["financial", "efficiency", "complexity", "timeline", "anomaly"]
+    means = ", ".join(f"avg({c}) AS {k}" for c, k in zip(RISK_D[1:], comp_keys))
+    argmax = "CASE " + " ".join(
+        f"WHEN {k} = greatest({', '.join(comp_keys)}) THEN '{k}'" for k in comp_keys) + " END"
+    out["risk_summary"] = pipe + f"""SELECT total_projects, high_risk_count, {r('average_risk_score')},
+  {rnd(comp_keys)}, {argmax} AS primary_risk_driver FROM (
+  SELECT count(*) AS total_projects, count_if(IsHighRisk) AS high_risk_count,
+         avg(TotalRiskScore) AS average_risk_score, {means} FROM risk)"""
+    lv = ", ".join(f"('{nm}')" for nm, _, _ in config.RISK_LEVELS)
+    out["risk_level_histogram"] = pipe + f"""SELECT l.RiskLevel, coalesce(n, 0) AS count FROM (VALUES {lv}) l(RiskLevel)
+  LEFT JOIN (SELECT RiskLevel, count(*) AS n FROM risk WHERE RiskLevel IS NOT NULL GROUP BY RiskLevel) c
+  ON l.RiskLevel = c.RiskLevel"""
+    out["risk_by_type"] = pipe + f"""SELECT ProjectType, {r('avg(TotalRiskScore)', 'mean')},
+  {r('stddev_samp(TotalRiskScore)', 'std')}, {r('min(TotalRiskScore)', 'min')}, {r('max(TotalRiskScore)', 'max')}
+  FROM feat JOIN risk ON feat.ProjectCode = risk.ProjectCode GROUP BY ProjectType"""
+    out["risk_levels_by_type"] = pipe + f"""SELECT t.ProjectType, l.RiskLevel, coalesce(n, 0) AS count
+  FROM (SELECT DISTINCT ProjectType FROM feat JOIN risk ON feat.ProjectCode = risk.ProjectCode) t,
+       (VALUES {lv}) l(RiskLevel)
+  LEFT JOIN (SELECT ProjectType, RiskLevel, count(*) AS n FROM feat JOIN risk ON feat.ProjectCode = risk.ProjectCode
+             WHERE RiskLevel IS NOT NULL GROUP BY ProjectType, RiskLevel) c
+  ON t.ProjectType = c.ProjectType AND l.RiskLevel = c.RiskLevel"""
+    out["risk_by_status"] = pipe + f"""SELECT Status, {r('avg(TotalRiskScore)', 'mean')}, count(TotalRiskScore) AS count
+  FROM feat JOIN risk ON feat.ProjectCode = risk.ProjectCode WHERE Status <> 'Unknown' GROUP BY Status"""
+    comps = ["FinancialRisk", "EfficiencyRisk", "ComplexityRisk", "TimelineRisk", "AnomalyRisk"]
+    tcomps = ", ".join(f"t.{c}" for c in comps)
+    pf = "CASE " + " ".join(f"WHEN t.{c} = greatest({tcomps}) THEN '{c.replace('Risk', '')}'"
+                            for c in comps) + " END"
+    out["high_risk_projects"] = pipe + f"""SELECT t.row_id, t.ProjectCode, {', '.join(r('t.' + c, c) for c in RISK_D)},
+  t.RiskLevel, t.IsHighRisk, p.ProjectName, p.ProjectType, {r('p.ContractPrice', 'ContractPrice')}, p.Status,
+  {pf} AS PrimaryRiskFactor
+  FROM (SELECT * FROM risk ORDER BY TotalRiskScore DESC, row_id LIMIT 15) t
+  LEFT JOIN feat p ON t.ProjectCode = p.ProjectCode"""
+    rules = ["FinancialRisk > 60", "ComplexityRisk > 60", "TimelineRisk > 60",
+             "(FinancialRisk > 50 AND EfficiencyRisk > 50) OR (ComplexityRisk > 50 AND TimelineRisk > 50)"]
+    from tallyspark.operators.risk import RECOMMENDATIONS
+    parts = []
+    for i, (cond, (cat, sev, text, rec)) in enumerate(zip(rules, RECOMMENDATIONS)):
+        parts.append(f"""SELECT {i} AS seq, '{cat}' AS category, '{sev}' AS severity,
+  CAST((SELECT count(*) FROM risk WHERE {cond}) AS VARCHAR) || ' {text}' AS finding, '{rec}' AS recommendation,
+  (SELECT count(*) FROM risk WHERE {cond}) AS count,
+  (SELECT string_agg(ProjectCode, ',' ORDER BY row_id) FROM
+     (SELECT ProjectCode, row_id FROM risk WHERE {cond} ORDER BY row_id LIMIT 5)) AS affected_projects""")
+    out["risk_recommendations"] = pipe + "SELECT * FROM (" + "\nUNION ALL\n".join(parts) + ") WHERE count > 0"
+    out["feature_pct_ranks"] = with_(PROJ, WH, PW, FS, *feature_ctes(keys)) + f"""SELECT row_id,
+  {r(_prank('round(CostRevenueRatio, 9)', 'round(CostRevenueRatio, 9)'), 'CostRevenueRatio')},
+  {r(_prank('-round(EfficiencyScore, 9)', 'round(EfficiencyScore, 9)'), 'EfficiencyScore')},
+  {r(_prank('round(WorkVariability, 9)', 'round(WorkVariability, 9)'), 'WorkVariability')},
+  {r(_prank('round(DepartmentDiversity, 9)', 'round(DepartmentDiversity, 9)'), 'DepartmentDiversity')} FROM feat"""
+    return out

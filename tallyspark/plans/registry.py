@@ -15,6 +15,8 @@ from tallyspark import config
 from tallyspark.functions.exprs import round_doubles
 from tallyspark.operators import features as feat
 from tallyspark.operators import finance
+from tallyspark.operators import risk
+from tallyspark.operators import rules
 from tallyspark.sources import given
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,10 +75,64 @@ def _feature_queries() -> dict[str, Query]:
     return q
 
 
+def _rule_queries() -> dict[str, Query]:
+    q: dict[str, Query] = {}
+    q["cost_anomalies"] = lambda s, d: round_doubles(rules.cost_anomalies(_features(s, d)).select(
+        "row_id", "ProjectCode", "anomaly_type", "CostRevenueRatio", "Profit", "cost_ratio_deviation"))
+    q["efficiency_anomalies"] = lambda s, d: round_doubles(rules.efficiency_anomalies(_features(s, d)).select(
+        "row_id", "ProjectCode", "anomaly_type", "TasksPerHour", "efficiency_zscore"))
+    q["pattern_anomalies"] = lambda s, d: rules.pattern_anomalies(given.work_hours(s, d)).select(
+        "ProjectCode", "anomaly_type", F.array_join("department_pattern", "|").alias("department_pattern"))
+
+    def counts(s, d):
+        f, wh = _features(s, d), given.work_hours(s, d)
+        return rules.anomaly_counts(rules.cost_anomalies(f), rules.efficiency_anomalies(f),
+                                    rules.pattern_anomalies(wh))
+    q["anomaly_counts"] = counts
+    return q
+
+
+def _risk(s: SparkSession, d: str, variant: str = "pipeline") -> DataFrame:
+    f = _features(s, d)
+    if variant == "full":
+        p, wh = _inputs(s, d)
+        f = risk.with_full_columns(f, finance.financial_summary(p, wh, DEPTS))
+    return risk.calculate_risk_scores(f, mode="threshold" if variant == "threshold" else "percentile")
+
+
+def _risk_queries() -> dict[str, Query]:
+    q: dict[str, Query] = {}
+    q["risk_scores"] = lambda s, d: round_doubles(_risk(s, d))
+    q["risk_scores_full"] = lambda s, d: round_doubles(_risk(s, d, "full"))
+    q["risk_scores_threshold"] = lambda s, d: round_doubles(_risk(s, d, "threshold"))
+    q["risk_summary"] = lambda s, d: round_doubles(risk.risk_summary(_risk(s, d)))
+    q["risk_level_histogram"] = lambda s, d: risk.level_histogram(_risk(s, d))
+    q["risk_by_type"] = lambda s, d: round_doubles(risk.risk_by_type(_features(s, d), _risk(s, d)))
+    q["risk_levels_by_type"] = lambda s, d: risk.risk_levels_by_type(_features(s, d), _risk(s, d))
+    q["risk_by_status"] = lambda s, d: round_doubles(risk.risk_by_status(_features(s, d), _risk(s, d)))
+    q["high_risk_projects"] = lambda s, d: round_doubles(
+        risk.high_risk_projects(_risk(s, d), _features(s, d), top_n=15))
+    q["risk_recommendations"] = lambda s, d: risk.recommendations(_risk(s, d)).withColumn(
+        "affected_projects", F.array_join("affected_projects", ","))
+
+    def ranks(s, d):
+        f = _features(s, d)
+        from tallyspark.functions import ordered
+        from tallyspark.functions.exprs import round_half_up
+        k = lambda c: round_half_up(c, risk.RANK_DECIMALS)
+        return round_doubles(ordered.pct_ranks(f, "row_id", {
+            "CostRevenueRatio": k("CostRevenueRatio"), "EfficiencyScore": -k("EfficiencyScore"),
+            "WorkVariability": k("WorkVariability"), "DepartmentDiversity": k("DepartmentDiversity")}))
+    q["feature_pct_ranks"] = ranks
+    return q
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q.update(_finance())
     q.update(_feature_queries())
+    q.update(_rule_queries())
+    q.update(_risk_queries())
     return q
 
 
@@ -85,6 +141,8 @@ def oracle_sql() -> dict[str, str]:
     s: dict[str, str] = {}
     s.update(oracle.finance_sql(ALL_BRANDS))
     s.update(oracle.features_sql(KEYS))
+    s.update(oracle.rules_sql(KEYS))
+    s.update(oracle.risk_sql(KEYS))
     return s
 
 
