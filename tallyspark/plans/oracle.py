@@ -503,3 +503,57 @@ def risk_sql(keys: list[str]) -> dict[str, str]:
   {r(_prank('round(WorkVariability, 9)', 'round(WorkVariability, 9)'), 'WorkVariability')},
   {r(_prank('round(DepartmentDiversity, 9)', 'round(DepartmentDiversity, 9)'), 'DepartmentDiversity')} FROM feat"""
     return out
+
+
+# ---------------------------------------------------------------------------
+# Diagnostics
+# ---------------------------------------------------------------------------
+
+FULL_CTE = """featx AS (SELECT feat.*, fs.NumDepartments, fs.NumTasks,
+  CASE WHEN fs.NumTasks = 0 THEN NULL ELSE fs.TotalHours / fs.NumTasks END AS HoursPerTask
+  FROM feat JOIN fs ON feat.row_id = fs.row_id)"""
+
+
+def diagnostics_sql(keys: list[str]) -> dict[str, str]:
+    fcols = set(feature_columns(keys))
+    pipe = with_(PROJ, WH, PW, FS, *feature_ctes(keys), FULL_CTE, *risk_ctes("feat", fcols))
+    out = {}
+    scores = ["TotalRiskScore", "FinancialRisk", "EfficiencyRisk", "ComplexityRisk", "TimelineRisk", "AnomalyRisk"]
+    parts = [f"""SELECT '{c}' AS component, {r(f'min({c})', 'min')}, {r(f'max({c})', 'max')}, {r(f'avg({c})', 'mean')},
+  {r(f'stddev_samp({c})', 'std')}, {r(f'count_if({c} > 50) / count(*) * 100', 'pct_over_50')} FROM risk"""
+             for c in scores]
+    out["risk_component_stats"] = pipe + "\nUNION ALL\n".join(parts)
+    out["risk_threshold_counts"] = pipe + f"""SELECT {r('avg(CostRevenueRatio)', 'cost_ratio_mean')},
+  count_if(CostRevenueRatio > 0.7) AS cost_ratio_over_0_7, count_if(CostRevenueRatio > 0.9) AS cost_ratio_over_0_9,
+  count_if(ProfitMargin < 0) AS margin_below_0, count_if(ProfitMargin < 10) AS margin_below_10,
+  {r('avg(ProfitMargin)', 'margin_mean')}, {r('avg(EfficiencyScore)', 'efficiency_mean')},
+  {r('stddev_samp(EfficiencyScore)', 'efficiency_std')},
+  count_if(NumDepartments > 5) AS departments_over_5, count_if(NumDepartments > 7) AS departments_over_7,
+  count_if(NumDepartments > 10) AS departments_over_10,
+  (SELECT count_if((EfficiencyScore - mu) / sd < -1) FROM featx,
+     (SELECT avg(EfficiencyScore) AS mu, stddev_samp(EfficiencyScore) AS sd FROM featx)) AS efficiency_z_below_minus_1
+  FROM featx"""
+    from tallyspark.operators.diagnostics import CALIBRATED, SUGGESTED
+    parts = [f"SELECT '{k}' AS key, {r(f'floor(quantile_cont({c}, {p}))' if t else f'quantile_cont({c}, {p})', 'value')} FROM featx"
+             for c, p, k, t in SUGGESTED + CALIBRATED]
+    out["risk_thresholds"] = pipe + "\nUNION ALL\n".join(parts)
+    out["risk_histogram"] = pipe + f"""SELECT g.bin, {r('lo + (g.bin - 1) * ((hi - lo) / 20)', 'lo')},
+  {r('lo + g.bin * ((hi - lo) / 20)', 'hi')}, coalesce(n, 0) AS count
+FROM (SELECT unnest(range(1, 21)) AS bin) g CROSS JOIN (SELECT min(TotalRiskScore) AS lo, max(TotalRiskScore) AS hi FROM risk) m
+LEFT JOIN (SELECT CAST(CASE WHEN hi - lo > 0 THEN least(floor((TotalRiskScore - lo) / (hi - lo) * 20), 19) + 1 ELSE 1 END AS INTEGER) AS b,
+                  count(*) AS n
+           FROM risk, (SELECT min(TotalRiskScore) AS lo, max(TotalRiskScore) AS hi FROM risk)
+           WHERE TotalRiskScore IS NOT NULL GROUP BY b) c ON g.bin = c.b"""
+    comps = scores[1:]
+    out["risk_component_means"] = pipe + "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS component, {r(f'avg({c})', 'mean')} FROM risk" for c in comps)
+    lv = ", ".join(f"('{nm}')" for nm, _, _ in config.RISK_LEVELS)
+    out["risk_level_shares"] = pipe + f"""SELECT RiskLevel, count, {r('count * 100.0 / sum(count) OVER ()', 'share')} FROM (
+  SELECT l.RiskLevel, coalesce(n, 0) AS count FROM (VALUES {lv}) l(RiskLevel)
+  LEFT JOIN (SELECT RiskLevel, count(*) AS n FROM risk WHERE RiskLevel IS NOT NULL GROUP BY RiskLevel) c
+  ON l.RiskLevel = c.RiskLevel)"""
+    out["risk_scatter_pairs"] = pipe + "\nUNION ALL\n".join(
+        f"SELECT x.row_id, '{a}:{b}' AS pair, {r(f'x.{a}', 'x')}, {r(f'k.{b}', 'y')} FROM featx x JOIN risk k ON x.row_id = k.row_id"
+        for a, b in [("CostRevenueRatio", "FinancialRisk"), ("EfficiencyScore", "EfficiencyRisk"),
+                     ("NumDepartments", "ComplexityRisk")])
+    return out

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyspark import config
 from tallyspark.functions.exprs import round_doubles
 from tallyspark.operators import features as feat
+from tallyspark.operators import diagnostics as diag
 from tallyspark.operators import finance
 from tallyspark.operators import risk
 from tallyspark.operators import rules
@@ -127,12 +128,30 @@ def _risk_queries() -> dict[str, Query]:
     return q
 
 
+def _features_full(s: SparkSession, d: str) -> DataFrame:
+    p, wh = _inputs(s, d)
+    return risk.with_full_columns(_features(s, d), finance.financial_summary(p, wh, DEPTS))
+
+
+def _diagnostic_queries() -> dict[str, Query]:
+    q: dict[str, Query] = {}
+    q["risk_component_stats"] = lambda s, d: round_doubles(diag.component_stats(_risk(s, d)))
+    q["risk_threshold_counts"] = lambda s, d: round_doubles(diag.threshold_counts(_features_full(s, d)))
+    q["risk_thresholds"] = lambda s, d: round_doubles(diag.thresholds(_features_full(s, d)))
+    q["risk_histogram"] = lambda s, d: round_doubles(diag.score_histogram(_risk(s, d)))
+    q["risk_component_means"] = lambda s, d: round_doubles(diag.component_means(_risk(s, d)))
+    q["risk_level_shares"] = lambda s, d: round_doubles(diag.level_shares(_risk(s, d)))
+    q["risk_scatter_pairs"] = lambda s, d: round_doubles(diag.scatter_pairs(_features_full(s, d), _risk(s, d)))
+    return q
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q.update(_finance())
     q.update(_feature_queries())
     q.update(_rule_queries())
     q.update(_risk_queries())
+    q.update(_diagnostic_queries())
     return q
 
 
@@ -143,6 +162,7 @@ def oracle_sql() -> dict[str, str]:
     s.update(oracle.features_sql(KEYS))
     s.update(oracle.rules_sql(KEYS))
     s.update(oracle.risk_sql(KEYS))
+    s.update(oracle.diagnostics_sql(KEYS))
     return s
 
 
