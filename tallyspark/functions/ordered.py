@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.session import shuffle_partitions
+from tallyspark.session import cut_lineage, shuffle_partitions
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -60,7 +60,9 @@ def rank_table(long_df: DataFrame, partitions: int | None = None) -> DataFrame:
     p = partitions or shuffle_partitions(long_df.sparkSession)
     dv = (long_df.where(F.col("value").isNotNull() & ~F.isnan("value"))
                  .groupBy("metric", "value").agg(F.count(F.lit(1)).alias("c")))
-    rp = dv.repartitionByRange(p, "metric", "value").withColumn("_pid", F.spark_partition_id())
+    # Range bounds come from a sample; materialise the sliced table once so the
+    # offsets and the in-slice running counts see the very same slices.
+    rp = cut_lineage(dv.repartitionByRange(p, "metric", "value").withColumn("_pid", F.spark_partition_id()))
     slice_tot = rp.groupBy("metric", "_pid").agg(F.sum("c").alias("_pc"))
     upto = Window.partitionBy("metric").orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = slice_tot.select(
