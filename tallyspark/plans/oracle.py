@@ -557,3 +557,61 @@ LEFT JOIN (SELECT CAST(CASE WHEN hi - lo > 0 THEN least(floor((TotalRiskScore -
         for a, b in [("CostRevenueRatio", "FinancialRisk"), ("EfficiencyScore", "EfficiencyRisk"),
                      ("NumDepartments", "ComplexityRisk")])
     return out
+
+
+# ---------------------------------------------------------------------------
+# Models with exact SQL equivalents (M1, M6 + M8, M11)
+# ---------------------------------------------------------------------------
+
+def _scale_ctes(src: str, cols: list[str], id_expr: str = "row_id") -> list[str]:
+    qc = [q(c) for c in cols]
+    med = ", ".join(f"quantile_cont({c}, 0.5) AS m{i}" for i, c in enumerate(qc))
+    fill = ", ".join(f"coalesce(CAST({c} AS DOUBLE), m{i}) AS v{i}" for i, c in enumerate(qc))
+    mom = ", ".join(f"avg(v{i}) AS mu{i}, stddev_pop(v{i}) AS sd{i}" for i in range(len(cols)))
+    sc = ", ".join(f"(v{i} - mu{i}) / (CASE WHEN sd{i} = 0 OR sd{i} IS NULL THEN 1 ELSE sd{i} END) AS {c}"
+                   for i, c in enumerate(qc))
+    return [f"mmed AS (SELECT {med} FROM {src})",
+            f"mfil AS (SELECT {id_expr} AS row_id, {fill} FROM {src}, mmed)",
+            f"mmom AS (SELECT {mom} FROM mfil)",
+            f"mx AS (SELECT row_id, {sc} FROM mfil, mmom)"]
+
+
+def _lof_ctes(cols: list[str], k: int) -> list[str]:
+    qc = [q(c) for c in cols]
+    dist = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in qc)
+    return [
+        f"pr AS (SELECT a.row_id AS qid, b.row_id AS nid, sqrt({dist}) AS dist FROM mx a JOIN mx b ON a.row_id <> b.row_id)",
+        f"nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, nid) AS rk FROM pr) WHERE rk <= {k})",
+        "kd AS (SELECT qid AS nid, max(dist) AS kdist FROM nb GROUP BY qid)",
+        "lrd AS (SELECT n.qid, 1.0 / (avg(greatest(k.kdist, n.dist)) + 1e-10) AS lrd FROM nb n JOIN kd k ON n.nid = k.nid GROUP BY n.qid)",
+        "lofv AS (SELECT n.qid, avg(lo.lrd / lp.lrd) AS lof FROM nb n JOIN lrd lo ON n.nid = lo.qid JOIN lrd lp ON n.qid = lp.qid GROUP BY n.qid)",
+        f"lthr AS (SELECT quantile_cont(-lof, {config.CONTAMINATION}) AS t FROM lofv)",
+        "lofl AS (SELECT qid AS id, lof, -lof AS negative_outlier_factor, CASE WHEN -lof < t THEN -1 ELSE 1 END AS label FROM lofv, lthr)",
+    ]
+
+
+EMB_DIMS = 64
+
+
+def _emb_src() -> str:
+    cols = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(EMB_DIMS))
+    return f"emb AS (SELECT vec_id AS row_id, label, {cols} FROM embeddings)"
+
+
+def models_sql(keys: list[str], feature_cols: list[str]) -> dict[str, str]:
+    out = {}
+    base = with_(PROJ, WH, PW, FS, *feature_ctes(keys), *_scale_ctes("feat", feature_cols))
+    out["model_matrix"] = base + f"SELECT row_id, {', '.join(r(q(c), c) for c in feature_cols)} FROM mx"
+    ecols = [f"e{i}" for i in range(EMB_DIMS)]
+    n_emb_k = config.N_NEIGHBORS
+    emb = with_(_emb_src(), *_scale_ctes("emb", ecols), *_lof_ctes(ecols, n_emb_k))
+    out["lof_embeddings"] = emb + f"SELECT id, {r('lof')}, {r('negative_outlier_factor')}, label FROM lofl"
+    unpiv = " UNION ALL ".join(f"SELECT row_id, '{c}' AS feature, {c} AS val FROM mx" for c in ecols)
+    out["anomaly_explanations"] = emb.rstrip("\n") + f""",
+lg AS ({unpiv}),
+fst AS (SELECT feature, avg(val) AS mu, stddev_samp(val) AS sd FROM lg GROUP BY feature),
+zz AS (SELECT lg.row_id, lg.feature, (val - mu) / nullif(sd, 0) AS z FROM lg JOIN fst ON lg.feature = fst.feature
+       WHERE lg.row_id IN (SELECT id FROM lofl WHERE label = -1)),
+tk AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(z) DESC NULLS LAST, feature) AS rank FROM zz)
+SELECT row_id, rank, feature, {r('abs(z)', 'abs_z')}, {r('z')} FROM tk WHERE rank <= 5"""
+    return out

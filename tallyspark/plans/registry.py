@@ -58,6 +58,16 @@ def _finance() -> dict[str, Query]:
 KEYS = config.GIVEN_KEY_DEPARTMENTS
 
 
+def _model_columns() -> list[str]:
+    """The numeric feature columns (P11) of the feature table, in table order."""
+    from tallyspark.plans.oracle import FEATURE_INT_COLS, FEATURE_STR_COLS, feature_columns
+    skip = set(feat.NON_FEATURES) | FEATURE_STR_COLS
+    return [c for c in feature_columns(KEYS) if c not in skip]
+
+
+MODEL_COLUMNS = _model_columns()
+
+
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B4 over the un-imputed projects merged with their financials."""
     p, wh = _inputs(spark, sf_dir)
@@ -145,6 +155,66 @@ def _diagnostic_queries() -> dict[str, Query]:
     return q
 
 
+def _model_input(s: SparkSession, d: str):
+    from tallyspark.operators.anomaly import matrix
+    f = _features(s, d)
+    cols = feat.numeric_feature_names(f)
+    return f, cols, matrix
+
+
+def _embeddings_lof(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from tallyspark.operators.anomaly import lof, matrix
+    e = given.embeddings_matrix(s, d)
+    cols = given.embedding_features()
+    X = matrix.prepare(e, cols)
+    return X, lof.lof_labels(lof.lof_scores(matrix.as_vector(X, cols)))
+
+
+def _ensemble(s: SparkSession, d: str):
+    from tallyspark.operators.anomaly import ensemble
+    f, cols, _ = _model_input(s, d)
+    return ensemble.fit(f, cols)
+
+
+def _model_queries() -> dict[str, Query]:
+    from tallyspark.operators.anomaly import ensemble, iforest, ocsvm
+    q: dict[str, Query] = {}
+
+    def model_matrix(s, d):
+        f, cols, matrix = _model_input(s, d)
+        return round_doubles(matrix.prepare(f, cols))
+    q["model_matrix"] = model_matrix
+    q["lof_embeddings"] = lambda s, d: round_doubles(_embeddings_lof(s, d)[1])
+
+    def explanations(s, d):
+        X, labels = _embeddings_lof(s, d)
+        flagged = labels.where(F.col("label") == -1).select(F.col("id").alias("row_id"))
+        return round_doubles(ensemble.explain(X, given.embedding_features(), flagged))
+    q["anomaly_explanations"] = explanations
+
+    def forest_scores(s, d):
+        f, cols, matrix = _model_input(s, d)
+        vec = matrix.as_vector(matrix.prepare(f, cols), cols)
+        forest = iforest.fit(vec)
+        return iforest.decide(iforest.score(vec, forest), forest)
+    q["isolation_forest_scores"] = forest_scores
+
+    def svm_scores(s, d):
+        f, cols, matrix = _model_input(s, d)
+        vec = matrix.as_vector(matrix.prepare(f, cols), cols)
+        return ocsvm.score(vec, ocsvm.fit(vec))
+    q["one_class_scores"] = svm_scores
+    q["anomaly_ensemble"] = lambda s, d: _ensemble(s, d).results
+    q["consensus_anomalies"] = lambda s, d: ensemble.consensus_anomalies(_ensemble(s, d))
+    q["anomaly_method_report"] = lambda s, d: ensemble.method_report(_ensemble(s, d))
+
+    def check_new(s, d):
+        ens = _ensemble(s, d)
+        return ensemble.check_new(ens, _features(s, d))
+    q["anomaly_check_new"] = check_new
+    return q
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q.update(_finance())
@@ -152,6 +222,7 @@ def queries() -> dict[str, Query]:
     q.update(_rule_queries())
     q.update(_risk_queries())
     q.update(_diagnostic_queries())
+    q.update(_model_queries())
     return q
 
 
@@ -163,6 +234,7 @@ def oracle_sql() -> dict[str, str]:
     s.update(oracle.rules_sql(KEYS))
     s.update(oracle.risk_sql(KEYS))
     s.update(oracle.diagnostics_sql(KEYS))
+    s.update(oracle.models_sql(KEYS, MODEL_COLUMNS))
     return s
 
 
