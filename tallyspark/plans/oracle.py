@@ -563,17 +563,18 @@ LEFT JOIN (SELECT CAST(CASE WHEN hi - lo > 0 THEN least(floor((TotalRiskScore -
 # Models with exact SQL equivalents (M1, M6 + M8, M11)
 # ---------------------------------------------------------------------------
 
-def _scale_ctes(src: str, cols: list[str], id_expr: str = "row_id") -> list[str]:
+def _scale_ctes(src: str, cols: list[str], id_expr: str = "row_id", extra: list[str] | None = None) -> list[str]:
     qc = [q(c) for c in cols]
     med = ", ".join(f"quantile_cont({c}, 0.5) AS m{i}" for i, c in enumerate(qc))
     fill = ", ".join(f"coalesce(CAST({c} AS DOUBLE), m{i}) AS v{i}" for i, c in enumerate(qc))
     mom = ", ".join(f"avg(v{i}) AS mu{i}, stddev_pop(v{i}) AS sd{i}" for i in range(len(cols)))
     sc = ", ".join(f"(v{i} - mu{i}) / (CASE WHEN sd{i} = 0 OR sd{i} IS NULL THEN 1 ELSE sd{i} END) AS {c}"
                    for i, c in enumerate(qc))
+    ex = "".join(f", {e}" for e in (extra or []))
     return [f"mmed AS (SELECT {med} FROM {src})",
-            f"mfil AS (SELECT {id_expr} AS row_id, {fill} FROM {src}, mmed)",
+            f"mfil AS (SELECT {id_expr} AS row_id{ex}, {fill} FROM {src}, mmed)",
             f"mmom AS (SELECT {mom} FROM mfil)",
-            f"mx AS (SELECT row_id, {sc} FROM mfil, mmom)"]
+            f"mx AS (SELECT row_id{ex}, {sc} FROM mfil, mmom)"]
 
 
 def _lof_ctes(cols: list[str], k: int) -> list[str]:
@@ -615,3 +616,62 @@ zz AS (SELECT lg.row_id, lg.feature, (val - mu) / nullif(sd, 0) AS z FROM lg JOI
 tk AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(z) DESC NULLS LAST, feature) AS rank FROM zz)
 SELECT row_id, rank, feature, {r('abs(z)', 'abs_z')}, {r('z')} FROM tk WHERE rank <= 5"""
     return out
+
+
+# ---------------------------------------------------------------------------
+# Imputation (A17, M3, M4) and feature selection
+# ---------------------------------------------------------------------------
+
+PF = """pf AS (
+  SELECT p.*, coalesce(w.TotalHours, 0) AS TotalHours, CAST(coalesce(w.NumDepartments, 0) AS DOUBLE) AS NumDepartments,
+         CAST(coalesce(w.NumTasks, 0) AS DOUBLE) AS NumTasks, CAST(p.ProjectType = 'GS' AS DOUBLE) AS IsGS,
+         (p.ContractPrice > 0 AND p.PurchaseCost > 0) AS complete
+  FROM proj_c p LEFT JOIN pw w ON p.ProjectCode = w.ProjectCode)"""
+
+
+def impute_sql() -> dict[str, str]:
+    base = with_(PROJ, WH, PW, PF)
+    out = {}
+    mean_ratio = "CAST(sum(CAST(PurchaseCost / ContractPrice AS DECIMAL(38,12))) AS DOUBLE) / count(*)"
+    out["cost_ratio_by_type"] = base + f"""SELECT ProjectType, {r(mean_ratio, 'cost_ratio')}
+  FROM pf WHERE complete GROUP BY ProjectType"""
+    out["imputed_costs"] = base + f"""SELECT row_id, {r('ContractPrice * least(greatest(coalesce(cr.cost_ratio, 0.8) * (1 + (NumDepartments - md) * 0.02), 0.6), 0.95)', 'PurchaseCost_imputed')}
+  FROM pf LEFT JOIN (SELECT ProjectType AS pt, {mean_ratio} AS cost_ratio FROM pf WHERE complete GROUP BY ProjectType) cr
+    ON pf.ProjectType = cr.pt,
+  (SELECT avg(NumDepartments) AS md FROM pf WHERE complete)
+  WHERE NOT complete AND PurchaseCost <= 0"""
+    out["median_fallback"] = base + f"""SELECT row_id, ProjectCode, {r("CASE WHEN ContractPrice <= 0 THEN coalesce(mc, 1000000) ELSE ContractPrice END", 'ContractPrice')},
+  {r("CASE WHEN PurchaseCost <= 0 THEN coalesce(mp, 800000) ELSE PurchaseCost END", 'PurchaseCost')}
+  FROM pf, (SELECT quantile_cont(ContractPrice, 0.5) AS mc, quantile_cont(PurchaseCost, 0.5) AS mp FROM pf WHERE complete)"""
+    return out
+
+
+def selection_sql(keys: list[str], feature_cols: list[str], bins: int = 10) -> dict[str, str]:
+    lab = "feat_l AS (SELECT * FROM feat WHERE Success >= 0)"
+    base = with_(PROJ, WH, PW, FS, *feature_ctes(keys), lab, *_scale_ctes("feat_l", feature_cols, extra=["Success"]))
+    unpiv = " UNION ALL ".join(f"SELECT row_id, Success, '{c}' AS feature, CAST({q(c)} AS DOUBLE) AS val FROM mx"
+                               for c in feature_cols)
+    lg = f"lg AS ({unpiv})"
+    out = {}
+    mi = base.rstrip("\n") + f""",
+{lg},
+rk AS (SELECT *, (rank() OVER (PARTITION BY feature ORDER BY round(val, 9))
+                  + (count(*) OVER (PARTITION BY feature, round(val, 9)) - 1) / CAST(2 AS DOUBLE))
+                 / count(*) OVER (PARTITION BY feature) AS pr FROM lg),
+bn AS (SELECT feature, Success, CAST(least(ceil(pr * {bins}), {bins}) AS INTEGER) AS bin FROM rk),
+jt AS (SELECT feature, bin, Success, count(*) AS nby FROM bn GROUP BY ALL),
+pb AS (SELECT feature, bin, sum(nby) AS nb FROM jt GROUP BY ALL),
+py AS (SELECT feature, Success, sum(nby) AS ny FROM jt GROUP BY ALL),
+nn AS (SELECT feature, sum(nby) AS n FROM jt GROUP BY ALL)
+SELECT jt.feature, {r('sum((nby / n) * ln((nby * n) / (nb * ny)))', 'score')}
+FROM jt JOIN pb USING (feature, bin) JOIN py USING (feature, Success) JOIN nn USING (feature) GROUP BY jt.feature"""
+    out["feature_mutual_information"] = mi
+    fsql = base.rstrip("\n") + f""",
+{lg},
+per AS (SELECT feature, Success, count(*) AS nc, sum(val) AS sc, sum(val * val) AS qc FROM lg GROUP BY ALL),
+tot AS (SELECT feature, sum(nc) AS n, sum(sc) AS s, sum(qc) AS ss, count(*) AS k, sum(sc * sc / nc) AS br FROM per GROUP BY feature),
+fv AS (SELECT feature, ((br - s * s / n) / (k - 1)) / nullif(((ss - s * s / n) - (br - s * s / n)) / (n - k), 0) AS score FROM tot)
+"""
+    out["feature_anova_f"] = fsql + f"SELECT feature, {r('score')} FROM fv"
+    out["selected_features_f"] = fsql + f"SELECT feature, {r('score')} FROM fv ORDER BY score DESC NULLS LAST, feature LIMIT 20"
+    return out

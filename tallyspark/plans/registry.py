@@ -215,6 +215,43 @@ def _model_queries() -> dict[str, Query]:
     return q
 
 
+def _impute_queries() -> dict[str, Query]:
+    from tallyspark.operators import impute, selection
+    q: dict[str, Query] = {}
+
+    def pf(s, d):
+        p, wh = _inputs(s, d)
+        return impute.with_work_features(p, wh, DEPTS)
+    q["cost_ratio_by_type"] = lambda s, d: round_doubles(impute.cost_ratio_by_type(pf(s, d)))
+    q["imputed_costs"] = lambda s, d: round_doubles(impute.impute_costs(pf(s, d)))
+    q["median_fallback"] = lambda s, d: round_doubles(impute.median_fallback(pf(s, d)).select(
+        "row_id", "ProjectCode", "ContractPrice", "PurchaseCost"))
+
+    def prices(s, d):
+        x = pf(s, d)
+        return impute.predict_prices(impute.fit_price_model(x), x)
+    q["imputed_prices"] = prices
+
+    def imputed_projects(s, d):
+        p, wh = _inputs(s, d)
+        return impute.impute(p, wh, DEPTS)[0]
+    q["imputed_projects"] = imputed_projects
+
+    def importances(s, d):
+        return selection.importance_table(impute.fit_price_model(pf(s, d)), impute.FEATURES)
+    q["price_model_importances"] = importances
+
+    def prepared(s, d):
+        from tallyspark.operators.anomaly import matrix
+        f = _features(s, d)
+        cols = feat.numeric_feature_names(f)
+        return matrix.prepare(f, cols, target="Success"), cols
+    q["feature_mutual_information"] = lambda s, d: round_doubles(selection.mutual_information(*prepared(s, d)))
+    q["feature_anova_f"] = lambda s, d: round_doubles(selection.anova_f(*prepared(s, d)))
+    q["selected_features_f"] = lambda s, d: round_doubles(selection.select_top(selection.anova_f(*prepared(s, d))))
+    return q
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q.update(_finance())
@@ -223,6 +260,7 @@ def queries() -> dict[str, Query]:
     q.update(_risk_queries())
     q.update(_diagnostic_queries())
     q.update(_model_queries())
+    q.update(_impute_queries())
     return q
 
 
@@ -235,6 +273,8 @@ def oracle_sql() -> dict[str, str]:
     s.update(oracle.risk_sql(KEYS))
     s.update(oracle.diagnostics_sql(KEYS))
     s.update(oracle.models_sql(KEYS, MODEL_COLUMNS))
+    s.update(oracle.impute_sql())
+    s.update(oracle.selection_sql(KEYS, MODEL_COLUMNS))
     return s
 
 
