@@ -675,3 +675,37 @@ fv AS (SELECT feature, ((br - s * s / n) / (k - 1)) / nullif(((ss - s * s / n) -
     out["feature_anova_f"] = fsql + f"SELECT feature, {r('score')} FROM fv"
     out["selected_features_f"] = fsql + f"SELECT feature, {r('score')} FROM fv ORDER BY score DESC NULLS LAST, feature LIMIT 20"
     return out
+
+
+# ---------------------------------------------------------------------------
+# Sources (S1, P1-P5, J13) and reports
+# ---------------------------------------------------------------------------
+
+def _row_color_values() -> str:
+    return ", ".join(f"({r}, '{c}')" for c, rows in config.GS_ROW_COLORS.items() for r in rows)
+
+
+def sources_sql(keys: list[str]) -> dict[str, str]:
+    out = {}
+    out["work_hours"] = with_(PROJ, WH) + "SELECT Date, Project, Stage, Department, Task, Hours, ProjectCode FROM wh"
+    status = " ".join(f"WHEN '{c}' THEN '{s}'" for c, s in config.COLOR_STATUS)
+    out["gs_sheet_status"] = f"""WITH sheet AS (
+  SELECT CAST(o_orderkey + 1 AS BIGINT) AS row_no, 'GS' || CAST(o_orderkey AS VARCHAR) AS ProjectCode,
+         o_totalprice AS ContractPrice FROM orders WHERE o_orderpriority IN ('1-URGENT','2-HIGH')),
+rc AS (SELECT * FROM (VALUES {_row_color_values()}) t(row_no, Color))
+SELECT s.row_no, s.ProjectCode, 'GS' AS ProjectType, coalesce(rc.Color, 'Unknown') AS ColorCode,
+       coalesce(CASE rc.Color {status} END, 'Unknown') AS Status, {r('s.ContractPrice', 'ContractPrice')}
+FROM sheet s LEFT JOIN rc ON s.row_no = rc.row_no"""
+    names = [c for c in feature_columns(keys) if c not in ("ProjectCode", "ProjectType", "Status", "Success",
+                                                           "row_id", "row_no")]
+    out["feature_summary"] = with_(PROJ, WH, PW, FS, *feature_ctes(keys)) + f"""SELECT {len(names)} AS total_features,
+  count(*) AS total_projects, '{",".join(names[:20])}' AS feature_names FROM feat"""
+    fcols = set(feature_columns(keys))
+    pipe = with_(PROJ, WH, PW, FS, *feature_ctes(keys), *risk_ctes("feat", fcols))
+    out["project_lookup"] = pipe + f"""SELECT f.row_id, f.ProjectCode, f.ProjectName, f.ProjectType, f.Status,
+  {r('k.TotalRiskScore', 'TotalRiskScore')}, k.RiskLevel, {r('k.FinancialRisk', 'FinancialRisk')},
+  {r('k.EfficiencyRisk', 'EfficiencyRisk')}, {r('k.ComplexityRisk', 'ComplexityRisk')},
+  {r('k.TimelineRisk', 'TimelineRisk')}, k.IsHighRisk,
+  {r('f.ContractPrice', 'ContractPrice')}, {r('f.TotalCost', 'TotalCost')}, {r('f.Profit', 'Profit')}
+  FROM feat f LEFT JOIN risk k ON f.row_id = k.row_id WHERE f.ProjectCode = 'GS2'"""
+    return out

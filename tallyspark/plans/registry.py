@@ -252,6 +252,44 @@ def _impute_queries() -> dict[str, Query]:
     return q
 
 
+def _source_queries() -> dict[str, Query]:
+    from tallyspark.sources import sheets
+    q: dict[str, Query] = {}
+    q["work_hours"] = lambda s, d: round_doubles(given.work_hours(s, d))
+
+    def gs_sheet(s, d):
+        o = given.table(s, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+        sheet = o.select(F.concat(F.lit("GS"), F.col("o_orderkey").cast("string")).alias("ProjectCode"),
+                         F.col("o_totalprice").cast("string").alias("ContractPrice"),
+                         F.lit("").alias("PurchaseCost"), (F.col("o_orderkey") + 1).alias("row_no"))
+        shaped = sheets.shape_projects(sheet, "GS", max_rows=None)
+        return round_doubles(shaped.select("row_no", "ProjectCode", "ProjectType", "ColorCode", "Status",
+                                           "ContractPrice"))
+    q["gs_sheet_status"] = gs_sheet
+    return q
+
+
+def _report_queries() -> dict[str, Query]:
+    from tallyspark.plans import pipeline, reports
+    q: dict[str, Query] = {}
+    q["feature_summary"] = lambda s, d: reports.feature_summary(_features(s, d))
+
+    def lookup(s, d):
+        f = _features(s, d)
+        mart = reports.project_mart(f, _risk(s, d))
+        return round_doubles(reports.project_lookup(mart, f, "GS2"))
+    q["project_lookup"] = lookup
+
+    def run(s, d, models):
+        p, wh = _inputs(s, d)
+        return pipeline.run(wh, p, DEPTS, KEYS, models=models)
+    q["report_lines"] = lambda s, d: run(s, d, False).tables["report_lines"]
+    q["console_summary"] = lambda s, d: run(s, d, False).tables["console_summary"]
+    q["insights"] = lambda s, d: run(s, d, True).tables["insights"]
+    q["project_analysis"] = lambda s, d: run(s, d, True).tables["project_analysis"]
+    return q
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q.update(_finance())
@@ -261,6 +299,8 @@ def queries() -> dict[str, Query]:
     q.update(_diagnostic_queries())
     q.update(_model_queries())
     q.update(_impute_queries())
+    q.update(_source_queries())
+    q.update(_report_queries())
     return q
 
 
@@ -275,6 +315,7 @@ def oracle_sql() -> dict[str, str]:
     s.update(oracle.models_sql(KEYS, MODEL_COLUMNS))
     s.update(oracle.impute_sql())
     s.update(oracle.selection_sql(KEYS, MODEL_COLUMNS))
+    s.update(oracle.sources_sql(KEYS))
     return s
 
 
