@@ -145,12 +145,30 @@ def pct_ranks(df: DataFrame, id_col: str, metrics: dict[str, Column | str],
     Equals pandas ``Series.rank(pct=True)`` (NULL input -> NULL rank).  Rank
     descending by passing the negated column.
     """
+    return pct_ranks_and_quantiles(df, id_col, metrics, {}, {}, partitions)[0]
+
+
+def pct_ranks_and_quantiles(df: DataFrame, id_col: str, metrics: dict[str, Column | str],
+                            q_exprs: dict[str, Column | str], probs: dict[str, list[float]],
+                            partitions: int | None = None,
+                            name=lambda m, p: f"{m}_q{int(round(p * 100))}") -> tuple[DataFrame, DataFrame | None]:
+    """Percentile ranks of ``metrics`` and a one-row frame of quantiles of
+    ``q_exprs`` -- both from one shared rank table (one order-statistics pass)."""
     p = partitions or shuffle_partitions(df.sparkSession)
-    long_df = unpivot(df, [id_col], metrics)
-    rt = rank_table(long_df, p)
+    long_all = unpivot(df, [id_col], {**metrics, **q_exprs})
+    rt = rank_table(long_all, p)
+    qrow = None
+    if probs:
+        q = quantiles_from_ranks(rt, probs)
+        qrow = q.agg(*[F.max(F.when((F.col("metric") == m) & (F.col("p") == float(pp)), F.col("q"))).alias(name(m, pp))
+                       for m, ps in probs.items() for pp in ps])
+    if not metrics:
+        return None, qrow
+    long_df = long_all.where(F.col("metric").isin(list(metrics))) if q_exprs else long_all
     rt = rt.withColumn("pct", (F.col("before") + (F.col("c") + 1) / 2.0) / F.col("n"))
     # At most `p` values per metric can exceed 1/p of the metric's rows.
     hot = F.col("c") * p > F.col("n")
     joined = _attach(long_df, rt, ["metric", "value"], ["pct"], hot)
-    return joined.groupBy(id_col).agg(
+    ranks = joined.groupBy(id_col).agg(
         *[F.max(F.when(F.col("metric") == m, F.col("pct"))).alias(m) for m in metrics])
+    return ranks, qrow

@@ -74,7 +74,8 @@ def calculate_risk_scores(features: DataFrame, anomaly_flags: DataFrame | None =
     has = lambda c: c in present
     g = _fill(features, present)
 
-    # Global quantiles of the filled columns.
+    # Global quantiles of the filled columns (computed in the rank pass when
+    # there is one, so both share a single order-statistics pass).
     qspec: dict[str, list[float]] = {}
     if has("ProjectDuration"):
         qspec["_f_ProjectDuration"] = [0.75]
@@ -83,9 +84,9 @@ def calculate_risk_scores(features: DataFrame, anomaly_flags: DataFrame | None =
                       ("DepartmentDiversity", [0.1, 0.9])]:
             if has(c):
                 qspec[f"_f_{c}"] = ps
-    if qspec:
-        qrow = ordered.quantile_row(g, qspec, name=lambda m, p: f"_q{int(round(p * 100))}{m}")
-        g = ordered.attach_scalars(g, qrow)
+    qname = lambda m, p: f"_q{int(round(p * 100))}{m}"
+    if qspec and mode != "percentile":
+        g = ordered.attach_scalars(g, ordered.quantile_row(g, qspec, name=qname))
     if mode == "threshold" and has("EfficiencyScore"):
         g = ordered.attach_scalars(g, g.agg(F.avg("_f_EfficiencyScore").alias("_eff_mu"),
                                             F.stddev_samp("_f_EfficiencyScore").alias("_eff_sd")))
@@ -98,11 +99,15 @@ def calculate_risk_scores(features: DataFrame, anomaly_flags: DataFrame | None =
             if has(c):
                 key = round_half_up(_f(c), RANK_DECIMALS)
                 specs[f"_r_{c}"] = -key if neg else key
-        if specs:
-            if checkpoint:     # g feeds the rank pass (twice) and the final join
-                g = cut_lineage(g)
-            ranks = ordered.pct_ranks(g, id_col, specs)
-            g = g.join(ranks, id_col, "left")
+        if checkpoint:     # g feeds the rank pass (twice) and the final join
+            g = cut_lineage(g)
+        if specs or qspec:
+            ranks, qrow = ordered.pct_ranks_and_quantiles(
+                g, id_col, specs, {m: m for m in qspec}, qspec, name=qname)
+            if specs:
+                g = g.join(ranks, id_col, "left")
+            if qrow is not None:
+                g = ordered.attach_scalars(g, qrow)
 
     zero = F.lit(0.0)
     # B12 financial

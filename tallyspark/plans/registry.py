@@ -69,8 +69,14 @@ MODEL_COLUMNS = _model_columns()
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B4 over the un-imputed projects merged with their financials."""
+    """B4 over the un-imputed projects merged with their financials.
+
+    The derived work-hour fact feeds five aggregations: it is written once to
+    the checkpoint folder instead of re-deriving the three-way join each time.
+    """
+    from tallyspark.session import cut_lineage
     p, wh = _inputs(spark, sf_dir)
+    wh = cut_lineage(wh)
     fs = finance.financial_summary(p, wh, DEPTS)
     return feat.create_features(wh, finance.merge_financials(p, fs), KEYS)
 
