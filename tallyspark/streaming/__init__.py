@@ -1,0 +1,8 @@
+"""Streaming: nothing to build.
+
+The source system is a batch job: it has no stream, watermark, window over
+event time, state or late data (SURVEY 2.10).  Its only "windows" are the
+first-N-days hour sums of the feature table, which are batch aggregates
+(``operators.features.timeline``).  No streaming operator is added here,
+because only what the source system computes is built.
+"""
