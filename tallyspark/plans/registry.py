@@ -114,7 +114,10 @@ def _risk(s: SparkSession, d: str, variant: str = "pipeline") -> DataFrame:
     if variant == "full":
         p, wh = _inputs(s, d)
         f = risk.with_full_columns(f, finance.financial_summary(p, wh, DEPTS))
-    return risk.calculate_risk_scores(f, mode="threshold" if variant == "threshold" else "percentile")
+    from tallyspark.session import cut_lineage
+    # risk scores feed several summaries (counts + four bounded top-5 scans):
+    # materialise once instead of re-running the order-statistics passes
+    return cut_lineage(risk.calculate_risk_scores(f, mode="threshold" if variant == "threshold" else "percentile"))
 
 
 def _risk_queries() -> dict[str, Query]:
