@@ -223,7 +223,7 @@ def feature_ctes(keys: list[str], windows=config.TIME_WINDOWS) -> list[str]:
         """daily AS (SELECT ProjectCode, DateStart, sum(Hours) AS h FROM whd GROUP BY ProjectCode, DateStart)""",
         """dd AS (SELECT ProjectCode, min(DateStart) AS d0, max(DateStart) AS d1 FROM daily GROUP BY ProjectCode)""",
         f"""tl AS (
-  SELECT w.ProjectCode, any_value(date_diff('day', d.d0, d.d1)) AS ProjectDuration,
+  SELECT w.ProjectCode, CAST(any_value(date_diff('day', d.d0, d.d1)) AS INTEGER) AS ProjectDuration,
          {first}
   FROM daily w JOIN dd d ON w.ProjectCode = d.ProjectCode GROUP BY w.ProjectCode)""",
         """dm AS (
@@ -537,7 +537,7 @@ def diagnostics_sql(keys: list[str]) -> dict[str, str]:
     parts = [f"SELECT '{k}' AS key, {r(f'floor(quantile_cont({c}, {p}))' if t else f'quantile_cont({c}, {p})', 'value')} FROM featx"
              for c, p, k, t in SUGGESTED + CALIBRATED]
     out["risk_thresholds"] = pipe + "\nUNION ALL\n".join(parts)
-    out["risk_histogram"] = pipe + f"""SELECT g.bin, {r('lo + (g.bin - 1) * ((hi - lo) / 20)', 'lo')},
+    out["risk_histogram"] = pipe + f"""SELECT CAST(g.bin AS INTEGER) AS bin, {r('lo + (g.bin - 1) * ((hi - lo) / 20)', 'lo')},
   {r('lo + g.bin * ((hi - lo) / 20)', 'hi')}, coalesce(n, 0) AS count
 FROM (SELECT unnest(range(1, 21)) AS bin) g CROSS JOIN (SELECT min(TotalRiskScore) AS lo, max(TotalRiskScore) AS hi FROM risk) m
 LEFT JOIN (SELECT CAST(CASE WHEN hi - lo > 0 THEN least(floor((TotalRiskScore - lo) / (hi - lo) * 20), 19) + 1 ELSE 1 END AS INTEGER) AS b,
@@ -614,7 +614,7 @@ fst AS (SELECT feature, avg(val) AS mu, stddev_samp(val) AS sd FROM lg GROUP BY
 zz AS (SELECT lg.row_id, lg.feature, (val - mu) / nullif(sd, 0) AS z FROM lg JOIN fst ON lg.feature = fst.feature
        WHERE lg.row_id IN (SELECT id FROM lofl WHERE label = -1)),
 tk AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(z) DESC NULLS LAST, feature) AS rank FROM zz)
-SELECT row_id, rank, feature, {r('abs(z)', 'abs_z')}, {r('z')} FROM tk WHERE rank <= 5"""
+SELECT row_id, CAST(rank AS INTEGER) AS rank, feature, {r('abs(z)', 'abs_z')}, {r('z')} FROM tk WHERE rank <= 5"""
     return out
 
 
@@ -709,3 +709,25 @@ FROM sheet s LEFT JOIN rc ON s.row_no = rc.row_no"""
   {r('f.ContractPrice', 'ContractPrice')}, {r('f.TotalCost', 'TotalCost')}, {r('f.Profit', 'Profit')}
   FROM feat f LEFT JOIN risk k ON f.row_id = k.row_id WHERE f.ProjectCode = 'GS2'"""
     return out
+
+
+def cast_counts(sql: str) -> str:
+    """Wrap every ``count_if(...)`` in ``CAST(... AS BIGINT)`` (DuckDB returns HUGEINT)."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j])
+        out.append("CAST(" + sql[j:k + 1] + " AS BIGINT)")
+        i = k + 1

@@ -325,7 +325,7 @@ def oracle_sql() -> dict[str, str]:
     s.update(oracle.impute_sql())
     s.update(oracle.selection_sql(KEYS, MODEL_COLUMNS))
     s.update(oracle.sources_sql(KEYS))
-    return s
+    return {k: oracle.cast_counts(v) for k, v in s.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
