@@ -126,9 +126,12 @@ def quantile_row(df: DataFrame, probs: dict[str, list[float]], exprs: dict[str,
     return q.agg(*aggs)
 
 
-def _attach(long_df: DataFrame, table: DataFrame, keys: list[str], value_cols: list[str],
-            hot: Column) -> DataFrame:
-    """Join ``table`` onto ``long_df`` by ``keys``; rows of hot keys via broadcast."""
+def join_split_hot(long_df: DataFrame, table: DataFrame, keys: list[str], value_cols: list[str],
+                   hot: Column) -> DataFrame:
+    """Left-join ``table`` (unique ``keys``) onto ``long_df``; the rows of the
+    keys marked ``hot`` (a predicate over ``table`` that selects a bounded set)
+    go through a broadcast, the rest through a normal shuffle join -- a key
+    holding a third of ``long_df`` never lands in one join task."""
     hot_t = table.where(hot).select(*keys, *value_cols).withColumn("_hot", F.lit(True))
     cold_t = table.where(~hot).select(*keys, *value_cols)
     tagged = long_df.join(F.broadcast(hot_t), keys, "left")
@@ -168,7 +171,7 @@ def pct_ranks_and_quantiles(df: DataFrame, id_col: str, metrics: dict[str, Colum
     rt = rt.withColumn("pct", (F.col("before") + (F.col("c") + 1) / 2.0) / F.col("n"))
     # At most `p` values per metric can exceed 1/p of the metric's rows.
     hot = F.col("c") * p > F.col("n")
-    joined = _attach(long_df, rt, ["metric", "value"], ["pct"], hot)
+    joined = join_split_hot(long_df, rt, ["metric", "value"], ["pct"], hot)
     ranks = joined.groupBy(id_col).agg(
         *[F.max(F.when(F.col("metric") == m, F.col("pct"))).alias(m) for m in metrics])
     return ranks, qrow
