@@ -1,7 +1,46 @@
-"""DuckDB SQL of the operators that SQL can express."""
+"""DuckDB SQL of the operators that SQL can express.
+
+Written apart from the operators: patterns and constants stand in the SQL.
+"""
 
 from __future__ import annotations
 
+#: kind, pattern, group, least length of the group.
+_SECRETS = [
+    ("assign", """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?[ ]*[:=][ ]*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]{32,}", 0, 32),
+    ("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+    ("code_host", "gh[opsur]_[A-Za-z0-9]{36,}", 0, 0),
+    ("chat_app", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0),
+    ("url_login", r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]{1,100}:[^\s/:@]{1,100}@", 0, 0),
+]
+
+
+def _secrets() -> str:
+    one = " UNION ALL ".join(
+        f"SELECT n, {k} AS rank, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS found, "
+        f"regexp_extract_all(t, '{p}', {g}) AS part, string_split_regex(t, '{p}') AS gap, {least} AS least FROM d"
+        for k, (kind, p, g, least) in enumerate(_SECRETS))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({one}),
+i AS (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM m),
+s AS (SELECT n, rank, kind, length(part[k]) >= least AS kept, length(found[k]) AS size,
+             list_sum(list_transform(gap[1:k], lambda x: length(x)))
+             + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0) AS start FROM i),
+a AS (SELECT n,
+        count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, rank)
+          FILTER (rank < 3) AS base,
+        string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, rank) AS spans
+      FROM s WHERE kept GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+       coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (n)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secrets": _secrets()}
