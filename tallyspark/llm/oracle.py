@@ -42,5 +42,49 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM d LEFT JOIN a USING (n)"""
 
 
+_UNITS = ("mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams ton tons ounce ounces pound pounds lb lbs "
+          "ml l liter liters litre litres second seconds s minute minutes min hour hours h day days week weeks month months year "
+          "years cent cents dollar dollars euro euros percent degree degrees mph kmh").split()
+_MARKS = """'.,;:!?"'')]}'"""
+
+
+def _leaks() -> str:
+    units = ", ".join(f"'{u}'" for u in _UNITS)
+
+    def tokens(source: str, key: str) -> str:
+        return f"""
+SELECT *, list_transform(range(1, len(raw) + 1), lambda i: CASE
+    WHEN low[i] < ':' AND low[i] >= '0' THEN '<num>'
+    WHEN i > 1 AND raw[i] < '[' AND raw[i] >= 'A' AND raw[i] <> upper(raw[i]) AND right(raw[i - 1], 1) NOT IN ('.', '!', '?') THEN '<name>'
+    WHEN i > 1 AND raw[i - 1] < ':' AND raw[i - 1] >= '0' AND list_contains([{units}], rtrim(low[i], {_MARKS})) THEN '<unit>'
+    ELSE rtrim(low[i], {_MARKS}) END) AS kinds
+FROM (SELECT {key}, list_filter(string_split(t, ' '), lambda x: x <> '') AS raw,
+             list_filter(string_split(lower(t), ' '), lambda x: x <> '') AS low
+      FROM (SELECT DISTINCT {key}, translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ') AS t
+            FROM {source}))"""
+    return f"""
+WITH b AS (SELECT item_id, row_number() OVER () AS b, raw, kinds, least(8, len(kinds)) AS size
+           FROM ({tokens('benchmark', 'item_id')}) WHERE len(kinds) >= 4),
+bp AS (SELECT *, unnest(range(1, len(kinds) - size + 2)) AS p FROM b),
+bw AS (SELECT item_id, b, p, size, raw[p:p + size - 1] AS raw, kinds[p:p + size - 1] AS kinds FROM bp),
+bk AS (SELECT *, count(*) OVER (PARTITION BY b) AS n FROM bw WHERE len(list_filter(kinds, lambda x: NOT starts_with(x, '<'))) >= 4),
+d AS (SELECT doc_id, row_number() OVER () AS d, raw, kinds FROM ({tokens('documents', 'doc_id')})),
+dp AS (SELECT d.*, s.size, unnest(range(1, len(kinds) - s.size + 2)) AS p FROM d, (SELECT DISTINCT size FROM bk) s),
+dw AS (SELECT doc_id, d, p, raw[p:p + size - 1] AS raw, kinds[p:p + size - 1] AS kinds FROM dp),
+m AS (SELECT doc_id, item_id, b, n, bk.p AS place, dw.p - bk.p AS diagonal, bk.kinds AS kinds, bk.raw AS iraw, dw.raw AS draw
+      FROM dw JOIN bk ON dw.kinds = bk.kinds),
+v AS (SELECT *, list_filter(list_transform(range(1, len(kinds) + 1), lambda i: {{'slot': starts_with(kinds[i], '<'),
+        'item': rtrim(iraw[i], {_MARKS}), 'doc': rtrim(draw[i], {_MARKS})}}), lambda x: x.slot) AS slots FROM m),
+l AS (SELECT doc_id, item_id, b, n, diagonal, list(DISTINCT place) AS places, list_distinct(flatten(list(slots))) AS pairs
+      FROM v GROUP BY ALL),
+c AS (SELECT *, len(list_filter(pairs, lambda x: x.item <> x.doc)) > 0 AS changed FROM l
+      WHERE len(list_distinct(list_transform(pairs, lambda x: x.item))) = len(pairs)),
+w AS (SELECT doc_id, item_id, b, n, count(DISTINCT place) AS k, NOT bool_or(changed) AS same_values
+      FROM (SELECT doc_id, item_id, b, n, changed, unnest(places) AS place FROM c) GROUP BY ALL)
+SELECT doc_id, item_id, arg_max(n, k / n)::BIGINT AS n_windows, arg_max(k, k / n)::BIGINT AS n_matched,
+       round(max(k / n), 6) AS coverage, bool_or(same_values) AS same_values
+FROM w WHERE k / n >= 0.5 GROUP BY doc_id, item_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": _secrets()}
+    return {"op1_secrets": _secrets(), "op10_decontamination": _leaks()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import op01_secrets, op04_token_counts, op05_fingerprints, op09_packing
+from tallyspark.llm import op01_secrets, op04_token_counts, op05_fingerprints, op09_packing, op10_decontamination
 from tallyspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,4 +19,5 @@ def queries() -> dict[str, Query]:
         "op4_token_counts": lambda s, d: op04_token_counts.token_counts(docs(s, d)),
         "op5_fingerprints": lambda s, d: op05_fingerprints.fingerprints(docs(s, d)),
         "op9_packing": lambda s, d: op09_packing.pack(docs(s, d)),
+        "op10_decontamination": lambda s, d: op10_decontamination.leaks(docs(s, d), table(s, d, "benchmark")),
     }
