@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import op01_secrets, op02_jaccard_join, op04_token_counts, op05_fingerprints, op09_packing, op10_decontamination
+from tallyspark.llm import op01_secrets, op02_jaccard_join, op04_token_counts, op05_fingerprints, op06_language, \
+    op09_packing, op10_decontamination
 from tallyspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op2_jaccard_join": lambda s, d: op02_jaccard_join.join_components(docs(s, d)),
         "op4_token_counts": lambda s, d: op04_token_counts.token_counts(docs(s, d)),
         "op5_fingerprints": lambda s, d: op05_fingerprints.fingerprints(docs(s, d)),
+        "op6_language": lambda s, d: op06_language.identify(docs(s, d)),
         "op9_packing": lambda s, d: op09_packing.pack(docs(s, d)),
         "op10_decontamination": lambda s, d: op10_decontamination.leaks(docs(s, d), table(s, d, "benchmark")),
     }
