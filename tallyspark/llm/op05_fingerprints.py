@@ -117,7 +117,8 @@ def next_documents(docs: DataFrame) -> DataFrame:
 def edited_texts(docs: DataFrame, follows: DataFrame) -> DataFrame:
     """(doc_id, text, edited): the last quarter of the code points replaced by the first ones of the next document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    heads = rows.join(follows.select(F.col("next").alias("doc_id"), F.col("id").alias("of"), "take"), "doc_id") \
+    # a left join, as the one below: an inner one would filter the rows, and the exchange of the texts couldn't be used for both
+    heads = rows.join(follows.select(F.col("next").alias("doc_id"), F.col("id").alias("of"), "take"), "doc_id", "left") \
         .select("of", F.expr("left(text, take)").alias("head")).groupBy("of").agg(F.min("head").alias("head"))
     both = rows.join(heads.withColumnRenamed("of", "doc_id"), "doc_id", "left")
     n = F.char_length("text")
