@@ -50,6 +50,7 @@ from tallyspark.llm.common import prepare, stage, whole_text
 from tallyspark.llm.components import connected_components
 
 SHINGLE = 3
+WORD = r"[^\x20\x09-\x0D]"
 #: Two sets link when 100 * intersection >= SHARE * union.
 SHARE = 90
 EPS = 1 - SHARE / 100
@@ -209,12 +210,19 @@ def _pairs_left(members: DataFrame) -> DataFrame:
         .select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
 
 
-def join_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``docs``."""
+def text_key() -> Column:
+    return F.unhex(F.md5(whole_text()))
+
+
+def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n) per row of ``docs``, and (key, least, component_id, chosen) per distinct text with words.
+
+    ``least`` is the least id with that text; ``chosen`` marks one text of each
+    component: that of the least id (ties: the least key).
+    """
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(whole_text())).alias("key"),
-                       whole_text().cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), whole_text().cast("binary").alias("text"))
     loads = shingle_loads(rows.select("text"))
     sig = stage(rows.mapInArrow(_signatures(loads), "doc_id long, key binary, n long, prefix array<long>"), "signatures")
     points = sig.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
@@ -256,14 +264,25 @@ def join_components(docs: DataFrame) -> DataFrame:
         roots = connected_components(links)
 
     named = _with_roots(points.select("node", "key", "least"), roots)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stage(named.join(least, "root").select("key", "component_id"), "classes")
-    out = sig.select("doc_id", "n", "key").join(classes, "key", "left")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), first.alias("first"))
+    classes = named.join(least, "root").select("key", "least", "component_id", (F.col("key") == F.col("first.key")).alias("chosen"))
+    return sig.select("doc_id", "key", "n"), stage(classes, "classes")
+
+
+def join_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of ``docs``."""
+    sig, classes = classes_of(docs)
+    out = sig.join(classes.select("key", "component_id"), "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: the row with the least id (rows that repeat it are one document)."""
-    kept = join_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each component, that of the least id; rows without words are nobody's copies and all stay."""
+    _, classes = classes_of(docs)
+    chosen = classes.filter("chosen").select(F.col("least").alias("least_"), F.col("key").alias("chosen_"))
+    rows = docs.withColumn("key_", text_key())
+    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("least_")) & (F.col("key_") == F.col("chosen_")), "left_semi") \
+        .filter(whole_text().rlike(WORD)).dropDuplicates(["doc_id", "key_"])
+    return kept.select(*docs.columns).unionByName(docs.filter(~whole_text().rlike(WORD)))

@@ -90,5 +90,9 @@ def test_groups_and_chains(make_docs, monkeypatch, seed):
 
 
 def test_keep_one(make_docs):
-    rows = [(5, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (9, "other words stand here"), (1, None), (2, None)]
-    assert sorted(r["doc_id"] for r in op2.keep_one(make_docs(rows)).collect()) == [1, 2, 3, 9]
+    rows = [(5, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (9, "other words stand here"), (1, None), (2, None), (9, "same id but a new text"),
+            (None, "a b c d e"), (None, "no id here at all"), (None, "no id here at all"), (4, " \n")]
+    kept = op2.keep_one(make_docs(rows, extra=True).withColumnRenamed("hash", "least"))
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == [
+        ("1", ""), ("2", ""), ("3", "a b c d e"), ("4", " \n"), ("9", "other words stand here"), ("9", "same id but a new text"),
+        ("None", "no id here at all")]
