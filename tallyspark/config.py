@@ -61,8 +61,6 @@ SUCCESS_LABELS = [
 ]
 
 WORK_HOURS_PER_YEAR = 2080
-GS_MAX_ROWS = 120          # sheet-export row cap of the GS sheet
-ISS_MAX_ROWS = 148         # sheet-export row cap of the ISS sheet
 WORK_HOURS_COLUMNS = ["Date", "Project", "Stage", "Department", "Task", "Hours"]
 PROJECT_SHEET_COLUMNS = ["ProjectCode", "ProjectName", "ContractPrice", "PurchaseCost"]
 PROJECT_CODE_PATTERN = r"(GS\d+[-\w]*|ISS\d+[-\w]*)"

@@ -55,23 +55,18 @@ WORD = r"[^\x20\x09-\x0D]"
 SHARE = 90
 EPS = 1 - SHARE / 100
 CELLS = 1 << 16
-SMALL = 48
+SMALL = 1000
 LEVELS = 3
 PIVOTS = 4
+GROUP_BYTES = 1 << 20
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORDS = _WordHashes()
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PLACES = 1 << 14
+_RANDOM = np.random.default_rng(987654321)
+_BYTE = _RANDOM.integers(0, 2**63, 256, dtype=np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
+_PLACE = _RANDOM.integers(0, 2**63, _PLACES, dtype=np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -80,16 +75,45 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Sorted distinct shingle hashes of a UTF-8 text; A-Z lower-cased, words split at ASCII white space."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
-    if len(h) < SHINGLE:
-        total = (h * _K[:len(h)]).sum(dtype=np.uint64) + np.uint64(len(h))
-        return _mix(np.array([total], dtype=np.uint64))
-    return np.unique(_mix(h[:-2] * _K[0] + h[1:-1] * _K[1] + h[2:] * _K[2]))
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of UTF-8 texts; A-Z lower-cased, words split at ASCII white space."""
+    raw = np.frombuffer(b" " + b" ".join(texts).lower() + b" ", dtype=np.uint8)
+    space = _SPACE[raw]
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    size = np.flatnonzero(~space[:-1] & space[1:]) + 1 - starts
+    if not len(starts):
+        return [np.empty(0, dtype=np.uint64)] * len(texts)
+    body, begin = raw[~space], np.cumsum(size) - size
+    place = np.arange(len(body)) - np.repeat(begin, size)
+    weight = _PLACE[place & (_PLACES - 1)] + (place // _PLACES).astype(np.uint64) * _K[0]
+    h = _mix(np.add.reduceat(_BYTE[body] * weight, begin))
+    runs = _mix(h[:-2] * _K[0] + h[1:-1] * _K[1] + h[2:] * _K[2])
+    cuts = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts]]))
+    out = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if b - a >= SHINGLE:
+            out.append(_distinct(runs[a:b - SHINGLE + 1]))
+        elif b > a:
+            out.append(_mix((h[a:b] * _K[:b - a]).sum(keepdims=True) + np.uint64(b - a)))
+        else:
+            out.append(h[:0])
+    return out
+
+
+def _grouped(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """The sets of texts one by one, made in groups of about GROUP_BYTES bytes; null as empty."""
+    group, size = [], 0
+    for k, t in enumerate(texts):
+        group.append(t or b"")
+        size += len(group[-1])
+        if size >= GROUP_BYTES or k == len(texts) - 1:
+            yield from shingle_sets(group)
+            group, size = [], 0
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
@@ -99,8 +123,8 @@ def _cell(h: np.ndarray) -> np.ndarray:
 def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(CELLS, dtype=np.int64)
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            np.add.at(total, _cell(shingle_set(text)), 1)
+        for own in _grouped(batch.column(0).to_pylist()):
+            np.add.at(total, _cell(own), 1)
     cells = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
 
@@ -123,8 +147,7 @@ def _signatures(loads: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, prefixes = [], []
-            for text in batch.column(2).to_pylist():
-                s = shingle_set(text)
+            for s in _grouped(batch.column(2).to_pylist()):
                 order = np.argsort(loads[_cell(s)], kind="stable")
                 sizes.append(len(s))
                 prefixes.append(s[order[:prefix_length(len(s))]].view(np.int64) if len(s) else np.empty(0, np.int64))
@@ -150,10 +173,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, own = None, np.empty(0, np.uint64)
     for batch in batches:
         inter, union = [], []
-        for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if a != last:  # rows come sorted by a
-                last, own = a, shingle_set(ta)
-            other = shingle_set(tb)
+        names, ta, tb = (batch.column(i).to_pylist() for i in (0, 2, 3))
+        new = [a != b for a, b in zip(names, [last, *names])]  # rows come sorted by a
+        sets = _grouped([t for k, x in enumerate(tb) for t in ((ta[k], x) if new[k] else (x,))])
+        for k, a in enumerate(names):
+            if new[k]:
+                last, own = a, next(sets)
+            other = next(sets)
             at = np.minimum(np.searchsorted(own, other), len(own) - 1)
             both = int((own[at] == other).sum())
             inter.append(both)

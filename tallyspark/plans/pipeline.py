@@ -27,13 +27,14 @@ from tallyspark.sources import sinks
 @dataclass
 class RunResult:
     tables: dict[str, DataFrame]
-    impute_path: str
+    impute_method: str
     timings: dict[str, float] = field(default_factory=dict)
     ensemble: object | None = None
 
 
 def run(work_hours: DataFrame, projects: DataFrame, departments: list[str] | None = None,
-        key_departments: list[str] | None = None, models: bool = True, knn_args: dict | None = None) -> RunResult:
+        key_departments: list[str] | None = None, models: bool = True, knn_args: dict | None = None,
+        impute_method: str = "model") -> RunResult:
     key_departments = key_departments or config.KEY_DEPARTMENTS
     t: dict[str, float] = {}
     clock = time.time()
@@ -46,8 +47,7 @@ def run(work_hours: DataFrame, projects: DataFrame, departments: list[str] | Non
 
     wh = cut_lineage(work_hours)
     lap("load")
-    proj, path = impute.impute(projects, wh, departments)
-    proj = cut_lineage(proj)
+    proj = cut_lineage(impute.impute(projects, wh, departments, method=impute_method))
     lap("impute")
     fs = cut_lineage(finance.financial_summary(proj, wh, departments))
     dept = finance.department_summary(wh, departments)
@@ -101,7 +101,7 @@ def run(work_hours: DataFrame, projects: DataFrame, departments: list[str] | Non
     tables.update({f"efficiency_{k}": v for k, v in finance.efficiency_analysis(fs).items()})
     tables.update({f"profitability_{k}": v for k, v in finance.profitability_analysis(fs).items()})
     lap("insights")
-    return RunResult(tables, path, t, ens)
+    return RunResult(tables, impute_method, t, ens)
 
 
 def save(result: RunResult, out_dir: str) -> list[str]:

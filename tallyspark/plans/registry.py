@@ -76,7 +76,7 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from tallyspark.session import cut_lineage
     p, wh = _inputs(spark, sf_dir)
-    wh = cut_lineage(wh)
+    wh = cut_lineage(wh.select("ProjectCode", "Department", "Task", "Hours", "Date"))
     fs = finance.financial_summary(p, wh, DEPTS)
     return feat.create_features(wh, finance.merge_financials(p, fs), KEYS)
 
@@ -120,6 +120,13 @@ def _risk(s: SparkSession, d: str, variant: str = "pipeline") -> DataFrame:
     return cut_lineage(risk.calculate_risk_scores(f, mode="threshold" if variant == "threshold" else "percentile"))
 
 
+def _features_and_risk(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The feature table, built once, and the risk scores over it."""
+    from tallyspark.session import cut_lineage
+    f = cut_lineage(_features(s, d))
+    return f, cut_lineage(risk.calculate_risk_scores(f, mode="percentile"))
+
+
 def _risk_queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q["risk_scores"] = lambda s, d: round_doubles(_risk(s, d))
@@ -127,11 +134,14 @@ def _risk_queries() -> dict[str, Query]:
     q["risk_scores_threshold"] = lambda s, d: round_doubles(_risk(s, d, "threshold"))
     q["risk_summary"] = lambda s, d: round_doubles(risk.risk_summary(_risk(s, d)))
     q["risk_level_histogram"] = lambda s, d: risk.level_histogram(_risk(s, d))
-    q["risk_by_type"] = lambda s, d: round_doubles(risk.risk_by_type(_features(s, d), _risk(s, d)))
-    q["risk_levels_by_type"] = lambda s, d: risk.risk_levels_by_type(_features(s, d), _risk(s, d))
-    q["risk_by_status"] = lambda s, d: round_doubles(risk.risk_by_status(_features(s, d), _risk(s, d)))
-    q["high_risk_projects"] = lambda s, d: round_doubles(
-        risk.high_risk_projects(_risk(s, d), _features(s, d), top_n=15))
+    q["risk_by_type"] = lambda s, d: round_doubles(risk.risk_by_type(*_features_and_risk(s, d)))
+    q["risk_levels_by_type"] = lambda s, d: risk.risk_levels_by_type(*_features_and_risk(s, d))
+    q["risk_by_status"] = lambda s, d: round_doubles(risk.risk_by_status(*_features_and_risk(s, d)))
+
+    def high(s, d):
+        f, r = _features_and_risk(s, d)
+        return round_doubles(risk.high_risk_projects(r, f, top_n=15))
+    q["high_risk_projects"] = high
     q["risk_recommendations"] = lambda s, d: risk.recommendations(_risk(s, d)).withColumn(
         "affected_projects", F.array_join("affected_projects", ","))
 
@@ -160,7 +170,14 @@ def _diagnostic_queries() -> dict[str, Query]:
     q["risk_histogram"] = lambda s, d: round_doubles(diag.score_histogram(_risk(s, d)))
     q["risk_component_means"] = lambda s, d: round_doubles(diag.component_means(_risk(s, d)))
     q["risk_level_shares"] = lambda s, d: round_doubles(diag.level_shares(_risk(s, d)))
-    q["risk_scatter_pairs"] = lambda s, d: round_doubles(diag.scatter_pairs(_features_full(s, d), _risk(s, d)))
+
+    def scatter(s, d):
+        from tallyspark.session import cut_lineage
+        p, wh = _inputs(s, d)
+        f, r = _features_and_risk(s, d)
+        full = cut_lineage(risk.with_full_columns(f, finance.financial_summary(p, wh, DEPTS)))
+        return round_doubles(diag.scatter_pairs(full, r))
+    q["risk_scatter_pairs"] = scatter
     return q
 
 
@@ -174,7 +191,7 @@ def _model_input(s: SparkSession, d: str):
 def _embeddings_lof(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     from tallyspark.operators.anomaly import lof, matrix
     e = given.embeddings_matrix(s, d)
-    cols = given.embedding_features()
+    cols = [c for c in e.columns if c not in ("row_id", "label")]
     X = matrix.prepare(e, cols)
     return X, lof.lof_labels(lof.lof_scores(matrix.as_vector(X, cols)))
 
@@ -198,7 +215,7 @@ def _model_queries() -> dict[str, Query]:
     def explanations(s, d):
         X, labels = _embeddings_lof(s, d)
         flagged = labels.where(F.col("label") == -1).select(F.col("id").alias("row_id"))
-        return round_doubles(ensemble.explain(X, given.embedding_features(), flagged))
+        return round_doubles(ensemble.explain(X, [c for c in X.columns if c != "row_id"], flagged))
     q["anomaly_explanations"] = explanations
 
     def forest_scores(s, d):
@@ -243,9 +260,15 @@ def _impute_queries() -> dict[str, Query]:
 
     def imputed_projects(s, d):
         p, wh = _inputs(s, d)
-        return impute.impute(p, wh, DEPTS)[0]
+        return impute.impute(p, wh, DEPTS)
     q["imputed_projects"] = imputed_projects
 
+    def by_median(s, d):
+        p, wh = _inputs(s, d)
+        return round_doubles(impute.impute(p, wh, DEPTS, method="median").select(
+            "row_id", "ProjectCode", "ContractPrice", "PurchaseCost"))
+    q["imputed_projects_median"] = by_median
+
     def importances(s, d):
         return selection.importance_table(impute.fit_price_model(pf(s, d)), impute.FEATURES)
     q["price_model_importances"] = importances
@@ -284,8 +307,8 @@ def _report_queries() -> dict[str, Query]:
     q["feature_summary"] = lambda s, d: reports.feature_summary(_features(s, d))
 
     def lookup(s, d):
-        f = _features(s, d)
-        mart = reports.project_mart(f, _risk(s, d))
+        f, r = _features_and_risk(s, d)
+        mart = reports.project_mart(f, r)
         return round_doubles(reports.project_lookup(mart, f, "GS2"))
     q["project_lookup"] = lookup
 

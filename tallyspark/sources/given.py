@@ -49,7 +49,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(status == "Fail", F.lit("Yellow")))
     return o.select(
         k.alias("row_id"),
-        (k + 1).cast("int").alias("row_no"),
+        (k + 1).cast("bigint").alias("row_no"),
         F.concat(ptype, k.cast("string")).alias("ProjectCode"),
         F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"), F.lit(" order "),
                  k.cast("string")).alias("ProjectName"),
@@ -86,42 +86,22 @@ def work_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("ProjectCode", extract_project_code("Project"))
 
 
-def customers_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer-grain numeric matrix for the model operators (row_id = c_custkey).
-
-    Order count, total/avg/max order value, line count, total quantity and
-    account balance per customer, all derived from the given tables.
-    """
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
-    per_order = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"),
-                                            F.sum("l_quantity").alias("qty"))
-    oo = o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
-    per_cust = oo.groupBy("o_custkey").agg(
-        F.count(F.lit(1)).cast("double").alias("n_orders"),
-        F.sum("o_totalprice").alias("total_value"),
-        F.avg("o_totalprice").alias("avg_value"),
-        F.max("o_totalprice").alias("max_value"),
-        F.coalesce(F.sum("n_lines"), F.lit(0)).cast("double").alias("n_lines"),
-        F.coalesce(F.sum("qty"), F.lit(0.0)).alias("total_qty"))
-    return c.join(per_cust, c.c_custkey == per_cust.o_custkey, "left").select(
-        F.col("c_custkey").alias("row_id"),
-        F.col("c_acctbal").alias("acctbal"),
-        *[F.coalesce(F.col(x), F.lit(0.0)).alias(x)
-          for x in ["n_orders", "total_value", "avg_value", "max_value", "n_lines", "total_qty"]])
-
-
-CUSTOMER_FEATURES = ["acctbal", "n_orders", "total_value", "avg_value", "max_value", "n_lines", "total_qty"]
-
-
-def embeddings_matrix(spark: SparkSession, sf_dir: str, dims: int | None = None) -> DataFrame:
+def embedding_dims(spark: SparkSession, sf_dir: str) -> int:
+    """The length that all vectors share; vectors of different lengths are an error."""
+    size = F.size("embedding")
+    r = table(spark, sf_dir, "embeddings").agg(F.min(size).alias("lo"), F.max(size).alias("hi")).first()
+    if r["lo"] != r["hi"]:
+        raise ValueError(f"vectors of {r['lo']} to {r['hi']} entries")
+    return r["hi"] or 0
+
+
+def embeddings_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` as wide double columns e0..e{d-1} (row_id = vec_id)."""
     e = table(spark, sf_dir, "embeddings")
-    d = dims or 64
     return e.select(F.col("vec_id").alias("row_id"), F.col("label"),
-                    *[F.col("embedding").getItem(i).cast("double").alias(f"e{i}") for i in range(d)])
+                    *[F.col("embedding").getItem(i).cast("double").alias(c)
+                      for i, c in enumerate(embedding_features(embedding_dims(spark, sf_dir)))])
 
 
-def embedding_features(dims: int = 64) -> list[str]:
+def embedding_features(dims: int) -> list[str]:
     return [f"e{i}" for i in range(dims)]

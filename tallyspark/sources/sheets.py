@@ -4,14 +4,14 @@ The workbook itself (a single-machine binary format) is not read; its sheets
 are read from exports.  Columns are renamed *by position* (S4), numbers are
 coerced leniently (P2), the GS sheet gets its colour / status by source row
 number (P4, J13) and rows without a project code are dropped after numbering
-(P5).  Row numbers come from the export when it carries them, otherwise from
-``zipWithIndex`` over the file order (a distributed two-pass numbering,
-never ``monotonically_increasing_id``, which has gaps).
+(P5).  Row numbers come from the export when it carries them (several files
+need that, their order is not defined), otherwise from the order of the one
+file: position within the partition plus the rows of the partitions before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark import config
@@ -38,12 +38,23 @@ def rename_by_position(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def with_row_numbers(df: DataFrame, col: str = "row_no") -> DataFrame:
-    """1-based source row numbers in file order (zipWithIndex)."""
+    """1-based source row numbers in file order, without gaps.
+
+    ``monotonically_increasing_id`` holds the partition in its high bits and the
+    position in its low 33; the counts per partition (one row each, of one file)
+    give the offsets.
+    """
     if col in df.columns:
         return df
-    schema = df.schema.add(col, "long")
-    rdd = df.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1] + 1,))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    if len(df.inputFiles()) > 1:
+        raise ValueError(f"an export of several files needs a {col} column: their order is not defined")
+    numbered = df.withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    out = numbered.withColumn("_part", part).join(F.broadcast(offsets), "_part")    # a row per partition
+    return out.select(*df.columns, (F.col("_offset") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).alias(col))
 
 
 def read_work_hours(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -75,15 +86,13 @@ def shape_projects(sheet: DataFrame, project_type: str, max_rows: int | None) ->
 
 def read_project_sheet(spark: SparkSession, path: str, project_type: str, fmt: str = "csv",
                        max_rows: int | None = None) -> DataFrame:
-    """A GS or ISS project sheet export."""
+    """A GS or ISS project sheet export; all rows, or source rows 1 to ``max_rows``."""
     raw = _read(spark, path, fmt)
     if "row_no" in raw.columns:
         body = [c for c in raw.columns if c != "row_no"][:len(config.PROJECT_SHEET_COLUMNS)]
         df = raw.select(*body, F.col("row_no").cast("long")).toDF(*config.PROJECT_SHEET_COLUMNS, "row_no")
     else:
         df = with_row_numbers(rename_by_position(raw, config.PROJECT_SHEET_COLUMNS))
-    if max_rows is None:
-        max_rows = config.GS_MAX_ROWS if project_type == "GS" else config.ISS_MAX_ROWS
     return shape_projects(df, project_type, max_rows)
 
 
@@ -96,8 +105,9 @@ def combine_projects(gs: DataFrame, iss: DataFrame) -> DataFrame:
 
 
 def load_all(spark: SparkSession, work_hours_path: str, gs_path: str, iss_path: str,
-             fmt: str = "csv") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(work_hours, gs_projects, iss_projects) -- lazy plans, nothing read yet."""
+             fmt: str = "csv", gs_max_rows: int | None = None,
+             iss_max_rows: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(work_hours, gs_projects, iss_projects) -- lazy plans, nothing read yet; all rows unless limited."""
     return (read_work_hours(spark, work_hours_path, fmt),
-            read_project_sheet(spark, gs_path, "GS", fmt),
-            read_project_sheet(spark, iss_path, "ISS", fmt))
+            read_project_sheet(spark, gs_path, "GS", fmt, gs_max_rows),
+            read_project_sheet(spark, iss_path, "ISS", fmt, iss_max_rows))

@@ -2,6 +2,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.sources import sheets, sinks
@@ -21,19 +22,42 @@ def test_project_sheet_colours_and_blank_codes(spark):
         price = "abc" if i == 5 else str(1000 + i)
         lines.append(f"{code},name {i},{price},{500 + i},x")
     _write(gs, lines)
-    df = sheets.read_project_sheet(spark, gs, "GS")
+    assert sheets.read_project_sheet(spark, gs, "GS").count() == 129   # all rows unless a limit is passed
+    df = sheets.read_project_sheet(spark, gs, "GS", max_rows=120)
     rows = {r["row_no"]: r for r in df.collect()}
-    assert 3 not in rows and max(rows) == 120            # blank code dropped after numbering; 120-row cap
+    assert 3 not in rows and max(rows) == 120            # blank code dropped after numbering; then the limit
     assert rows[1]["Status"] == "Success" and rows[31]["Status"] == "Fail" and rows[27]["Status"] == "Negotiation"
     assert rows[24]["ColorCode"] == "White" and rows[5]["ContractPrice"] == 0.0
     iss = os.path.join(d, "iss.csv")
     _write(iss, ["a,b,c,d"] + [f"ISS{i},n,{i},{i}" for i in range(1, 200)])
-    idf = sheets.read_project_sheet(spark, iss, "ISS")
+    wh = os.path.join(d, "wh.csv")
+    _write(wh, ["Date,Project,Stage,Department,Task,Hours", "7/1,GS1,S,D,t,1"])
+    assert sheets.load_all(spark, wh, gs, iss)[2].count() == 199
+    idf = sheets.load_all(spark, wh, gs, iss, iss_max_rows=148)[2]
     assert idf.count() == 148 and idf.where(F.col("Status") != "Unknown").count() == 0
     both = sheets.combine_projects(df, idf)
     assert both.count() == 119 + 148 and both.select("row_id").distinct().count() == 119 + 148
 
 
+def test_row_numbers_leave_the_frame_alone(spark):
+    d = tempfile.mkdtemp(prefix="tally-test-")
+    p = os.path.join(d, "many.csv")
+    _write(p, ["a"] + [str(i) for i in range(1, 20001)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        df = spark.read.option("header", True).csv(p)
+        for _ in range(2):
+            got = sheets.with_row_numbers(df)
+            assert df.columns == ["a"] and got.columns == ["a", "row_no"]
+            assert got.where(F.col("a").cast("long") != F.col("row_no")).count() == 0
+            assert got.count() == 20000 and df.rdd.getNumPartitions() > 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    _write(os.path.join(d, "more.csv"), ["a", "1"])
+    with pytest.raises(ValueError):
+        sheets.with_row_numbers(spark.read.option("header", True).csv(d))
+
+
 def test_work_hours_reader(spark):
     d = tempfile.mkdtemp(prefix="tally-test-")
     p = os.path.join(d, "wh.csv")
