@@ -330,6 +330,10 @@ pat_a AS (SELECT min(ProjectCode) AS ProjectCode, 'pattern' AS anomaly_type, pat
   {r('Profit')}, {r('cost_ratio_deviation')} FROM cost_a"""
     out["efficiency_anomalies"] = b + f"""SELECT row_id, ProjectCode, anomaly_type, {r('TasksPerHour')},
   {r('efficiency_zscore')} FROM eff_a"""
+    out["anomaly_details"] = b + f"""SELECT ProjectCode, anomaly_type, {r('cost_ratio_deviation')},
+  CAST(NULL AS DOUBLE) AS efficiency_zscore, CAST(NULL AS VARCHAR) AS department_pattern FROM cost_a
+UNION ALL SELECT ProjectCode, anomaly_type, NULL, {r('efficiency_zscore')}, NULL FROM eff_a
+UNION ALL SELECT ProjectCode, anomaly_type, NULL, NULL, array_to_string(pat, '|') FROM pat_a"""
     out["pattern_anomalies"] = b + "SELECT ProjectCode, anomaly_type, array_to_string(pat, '|') AS department_pattern FROM pat_a"
     out["anomaly_counts"] = b + """SELECT t.anomaly_type, coalesce(n, 0) AS count FROM
   (VALUES ('cost'), ('efficiency'), ('pattern')) t(anomaly_type) LEFT JOIN (
@@ -451,7 +455,10 @@ def risk_sql(keys: list[str]) -> dict[str, str]:
     full = with_(PROJ, WH, PW, FS, *feature_ctes(keys), full_cte,
                  *risk_ctes("featx", fcols | {"NumDepartments", "NumTasks", "HoursPerTask"}))
     thr = with_(PROJ, WH, PW, FS, *feature_ctes(keys), *risk_ctes("feat", fcols, "threshold"))
+    thr_full = with_(PROJ, WH, PW, FS, *feature_ctes(keys), full_cte,
+                     *risk_ctes("featx", fcols | {"NumDepartments", "NumTasks", "HoursPerTask"}, "threshold"))
     out = {"risk_scores": pipe + _risk_select(),
+           "risk_scores_threshold_full": thr_full + _risk_select(),
            "risk_scores_full": full + _risk_select(),
            "risk_scores_threshold": thr + _risk_select()}
     comp_keys = ["financial", "efficiency", "complexity", "timeline", "anomaly"]
@@ -475,6 +482,10 @@ def risk_sql(keys: list[str]) -> dict[str, str]:
   LEFT JOIN (SELECT ProjectType, RiskLevel, count(*) AS n FROM feat JOIN risk ON feat.ProjectCode = risk.ProjectCode
              WHERE RiskLevel IS NOT NULL GROUP BY ProjectType, RiskLevel) c
   ON t.ProjectType = c.ProjectType AND l.RiskLevel = c.RiskLevel"""
+    by_type, levels = out["risk_by_type"][len(pipe):], out["risk_levels_by_type"][len(pipe):]
+    out["risk_level_map_by_type"] = pipe + f"""SELECT a.*, b.RiskLevel FROM ({by_type}) a JOIN (
+  SELECT ProjectType, string_agg(RiskLevel || ':' || CAST(count AS VARCHAR), ',' ORDER BY RiskLevel) AS RiskLevel
+  FROM ({levels}) GROUP BY ProjectType) b ON a.ProjectType = b.ProjectType"""
     out["risk_by_status"] = pipe + f"""SELECT Status, {r('avg(TotalRiskScore)', 'mean')}, count(TotalRiskScore) AS count
   FROM feat JOIN risk ON feat.ProjectCode = risk.ProjectCode WHERE Status <> 'Unknown' GROUP BY Status"""
     comps = ["FinancialRisk", "EfficiencyRisk", "ComplexityRisk", "TimelineRisk", "AnomalyRisk"]
@@ -667,6 +678,7 @@ nn AS (SELECT feature, sum(nby) AS n FROM jt GROUP BY ALL)
 SELECT jt.feature, {r('sum((nby / n) * ln((nby * n) / (nb * ny)))', 'score')}
 FROM jt JOIN pb USING (feature, bin) JOIN py USING (feature, Success) JOIN nn USING (feature) GROUP BY jt.feature"""
     out["feature_mutual_information"] = mi
+    out["selected_features_mi"] = f"SELECT * FROM ({mi}) ORDER BY score DESC NULLS LAST, feature LIMIT 20"
     fsql = base.rstrip("\n") + f""",
 {lg},
 per AS (SELECT feature, Success, count(*) AS nc, sum(val) AS sc, sum(val * val) AS qc FROM lg GROUP BY ALL),
@@ -706,7 +718,7 @@ FROM sheet s LEFT JOIN rc ON s.row_no = rc.row_no"""
     out["project_lookup"] = pipe + f"""SELECT f.row_id, f.ProjectCode, f.ProjectName, f.ProjectType, f.Status,
   {r('k.TotalRiskScore', 'TotalRiskScore')}, k.RiskLevel, {r('k.FinancialRisk', 'FinancialRisk')},
   {r('k.EfficiencyRisk', 'EfficiencyRisk')}, {r('k.ComplexityRisk', 'ComplexityRisk')},
-  {r('k.TimelineRisk', 'TimelineRisk')}, k.IsHighRisk,
+  {r('k.TimelineRisk', 'TimelineRisk')}, {r('k.AnomalyRisk', 'AnomalyRisk')}, k.IsHighRisk,
   {r('f.ContractPrice', 'ContractPrice')}, {r('f.TotalCost', 'TotalCost')}, {r('f.Profit', 'Profit')}
   FROM feat f LEFT JOIN risk k ON f.row_id = k.row_id WHERE f.ProjectCode = 'GS2'"""
     return out

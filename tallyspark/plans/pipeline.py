@@ -88,7 +88,7 @@ def run(work_hours: DataFrame, projects: DataFrame, departments: list[str] | Non
     fsum = reports.feature_summary(features)
     mart = reports.project_mart(features, scores, flags)
     lines = reports.report_lines(fsum, summary, hist, high, recs, tables.get("anomaly_method_report"), counts,
-                                 tables.get("consensus_anomalies"), ins)
+                                 tables.get("consensus_anomalies"), ins, consensus_count)
     tables.update({
         "financial_summary": fs, "department_summary": dept, "features": features,
         "feature_summary": fsum, "cost_anomalies": cost, "efficiency_anomalies": eff,
@@ -96,7 +96,7 @@ def run(work_hours: DataFrame, projects: DataFrame, departments: list[str] | Non
         "risk_level_histogram": hist, "high_risk_projects": high, "recommendations": recs,
         "risk_by_type": risk.risk_by_type(features, scores), "risk_by_status": risk.risk_by_status(features, scores),
         "insights": ins, "project_analysis": mart, "report_lines": lines,
-        "console_summary": reports.console_summary(lines, ins),
+        "console_summary": reports.console_summary(lines, ins, summary, consensus_count),
     })
     tables.update({f"efficiency_{k}": v for k, v in finance.efficiency_analysis(fs).items()})
     tables.update({f"profitability_{k}": v for k, v in finance.profitability_analysis(fs).items()})

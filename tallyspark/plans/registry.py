@@ -106,18 +106,24 @@ def _rule_queries() -> dict[str, Query]:
         return rules.anomaly_counts(rules.cost_anomalies(f), rules.efficiency_anomalies(f),
                                     rules.pattern_anomalies(wh))
     q["anomaly_counts"] = counts
+
+    def detail(s, d):
+        f = _features(s, d)
+        return round_doubles(rules.all_anomalies(rules.cost_anomalies(f), rules.efficiency_anomalies(f),
+                                                 rules.pattern_anomalies(given.work_hours(s, d))))
+    q["anomaly_details"] = detail
     return q
 
 
 def _risk(s: SparkSession, d: str, variant: str = "pipeline") -> DataFrame:
     f = _features(s, d)
-    if variant == "full":
+    if variant.endswith("full"):
         p, wh = _inputs(s, d)
         f = risk.with_full_columns(f, finance.financial_summary(p, wh, DEPTS))
     from tallyspark.session import cut_lineage
     # risk scores feed several summaries (counts + four bounded top-5 scans):
     # materialise once instead of re-running the order-statistics passes
-    return cut_lineage(risk.calculate_risk_scores(f, mode="threshold" if variant == "threshold" else "percentile"))
+    return cut_lineage(risk.calculate_risk_scores(f, mode="threshold" if variant.startswith("threshold") else "percentile"))
 
 
 def _features_and_risk(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -132,10 +138,18 @@ def _risk_queries() -> dict[str, Query]:
     q["risk_scores"] = lambda s, d: round_doubles(_risk(s, d))
     q["risk_scores_full"] = lambda s, d: round_doubles(_risk(s, d, "full"))
     q["risk_scores_threshold"] = lambda s, d: round_doubles(_risk(s, d, "threshold"))
+    q["risk_scores_threshold_full"] = lambda s, d: round_doubles(_risk(s, d, "threshold_full"))
     q["risk_summary"] = lambda s, d: round_doubles(risk.risk_summary(_risk(s, d)))
     q["risk_level_histogram"] = lambda s, d: risk.level_histogram(_risk(s, d))
     q["risk_by_type"] = lambda s, d: round_doubles(risk.risk_by_type(*_features_and_risk(s, d)))
     q["risk_levels_by_type"] = lambda s, d: risk.risk_levels_by_type(*_features_and_risk(s, d))
+
+    def level_map(s, d):
+        rows = risk.risk_level_map_by_type(*_features_and_risk(s, d))
+        entry = lambda e: F.concat_ws(":", e["key"], e["value"])
+        return round_doubles(rows.withColumn("RiskLevel", F.array_join(
+            F.transform(F.array_sort(F.map_entries("RiskLevel")), entry), ",")))
+    q["risk_level_map_by_type"] = level_map
     q["risk_by_status"] = lambda s, d: round_doubles(risk.risk_by_status(*_features_and_risk(s, d)))
 
     def high(s, d):
@@ -280,6 +294,8 @@ def _impute_queries() -> dict[str, Query]:
         return matrix.prepare(f, cols, target="Success"), cols
     q["feature_mutual_information"] = lambda s, d: round_doubles(selection.mutual_information(*prepared(s, d)))
     q["feature_anova_f"] = lambda s, d: round_doubles(selection.anova_f(*prepared(s, d)))
+    q["selected_features_mi"] = lambda s, d: selection.select_top(
+        round_doubles(selection.mutual_information(*prepared(s, d))))
     q["selected_features_f"] = lambda s, d: round_doubles(selection.select_top(selection.anova_f(*prepared(s, d))))
     return q
 
@@ -315,8 +331,8 @@ def _report_queries() -> dict[str, Query]:
     def run(s, d, models):
         p, wh = _inputs(s, d)
         return pipeline.run(wh, p, DEPTS, KEYS, models=models)
-    q["report_lines"] = lambda s, d: run(s, d, False).tables["report_lines"]
-    q["console_summary"] = lambda s, d: run(s, d, False).tables["console_summary"]
+    q["report_lines"] = lambda s, d: run(s, d, True).tables["report_lines"]
+    q["console_summary"] = lambda s, d: run(s, d, True).tables["console_summary"]
     q["insights"] = lambda s, d: run(s, d, True).tables["insights"]
     q["project_analysis"] = lambda s, d: run(s, d, True).tables["project_analysis"]
     return q

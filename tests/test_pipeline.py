@@ -22,6 +22,11 @@ def test_pipeline_end_to_end(spark):
     assert t["feature_summary"].collect()[0]["total_features"] == 52
     sections = {r["section"] for r in t["report_lines"].collect()}
     assert {"summary", "risk", "risk_distribution", "recommendations", "insights", "technical"} <= sections
+    lines = t["report_lines"].orderBy("section_no", "seq").collect()
+    assert [r["seq"] for r in lines if r["section"] == "top_high_risk"] == list(range(5))
+    assert len({(r["section_no"], r["seq"]) for r in lines}) == len(lines)
+    assert "Primary risk driver" in {r["key"] for r in t["console_summary"].collect()}
+    assert not any("Isolation" in r["value"] for r in lines)
     assert t["console_summary"].where(F.col("section") == "insights").count() <= 3
     out = tempfile.mkdtemp(prefix="tally-pipe-")
     paths = pipeline.save(res, out)
