@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyspark.session import ensure_checkpoint_dir, ship_package
 
 _STAGED: list[tuple[SparkSession, str]] = []
+_PATHS: dict[int, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -35,10 +37,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Cuts lineage: a lost executor costs a reread, not a recomputation.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    drop_shuffles(spark)
+    out = spark.read.schema(schema).parquet(path)
+    _PATHS[id(out._jdf)] = path
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete what ``stage`` wrote; only for frames that nothing will read again."""
+    for df in staged:
+        path = _PATHS.pop(id(df._jdf), None)
+        if path:
+            delete(df.sparkSession, path)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished jobs, which it does when their plans are collected as garbage.
+
+    A job with many stages would otherwise hold the disk of all of them to its end.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def delete(spark: SparkSession, path: str) -> None:

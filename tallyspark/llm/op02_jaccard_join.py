@@ -21,7 +21,7 @@ needs no pairs.  Regions whose documents still belong to several components and
 that hold more than ``SMALL`` documents are split again, with documents as
 pivots: each document goes to its nearest pivot's region and is replicated to
 those at most 2 EPS further, which the triangle inequality shows to be enough;
-and so on, ``LEVELS`` times at most.  The pairs of different components that
+and so on, ``LEVELS`` times at most and as long as a split separates anything.  The pairs of different components that
 are left in a region, less those whose distances to a common pivot differ by
 more than EPS, are compared one by one.  So a group of thousands of near copies
 costs pairs in proportion to its size, and no link between components is lost.
@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import prepare, stage, whole_text
+from tallyspark.llm.common import prepare, release, stage, whole_text
 from tallyspark.llm.components import connected_components
 
 SHINGLE = 3
@@ -55,7 +55,9 @@ WORD = r"[^\x20\x09-\x0D]"
 SHARE = 90
 EPS = 1 - SHARE / 100
 CELLS = 1 << 16
-SMALL = 1000
+SMALL = 10_000
+#: A split that more than this many times the rows come out of separates nothing; the regions' pairs are compared instead.
+SPREAD = 2
 LEVELS = 3
 PIVOTS = 4
 GROUP_BYTES = 1 << 20
@@ -253,16 +255,20 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sig = stage(rows.mapInArrow(_signatures(loads), "doc_id long, key binary, n long, prefix array<long>"), "signatures")
     points = sig.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     points = stage(points.withColumn("node", F.monotonically_increasing_id()), "points")
+    slim = stage(sig.select("doc_id", "key", "n"), "rows")  # the prefixes go as soon as they have been used
+    release(sig)
 
     pre = points.select("node", "n", F.posexplode("prefix").alias("i", "region"))
     shared = pre.groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct("i", "n", "node")).alias("p")).filter("size > 1")
     members = stage(pre.join(shared.select("region", "p"), "region").select("region", "node", "n", "i", "p"), "members")
+    names = stage(points.select("node", "key", "least"), "names")
+    release(points)
 
     near = members.filter((F.col("node") != F.col("p.node")) & may_link(F.col("n"), F.col("i"), F.col("p.n"), F.col("p.i")))
     near = stage(near.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct(), "near")
-    wanted = members.select("node").distinct().join(points.select("node", "key"), "node")
-    texts = rows.select("key", "text").join(wanted, "key").groupBy("node").agg(F.first("text").alias("text"))
-    texts = stage(texts, "texts")
+    wanted = members.select("node").distinct().join(names.select("node", "key"), "node")
+    texts = rows.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")  # the aggregate's exchange serves the join
+    texts = stage(texts.select("node", "text"), "texts")
     d = distances(near, texts)
     links = d.filter("linked").select("a", "b")
     roots = connected_components(links)
@@ -276,11 +282,15 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         left = stage(left.join(_open_regions(left), "region"), "open")
         ready = left if level == LEVELS else left.filter(F.col("size") <= SMALL)
         found.append(stage(_pairs_left(ready), "pairs"))
-        if level == LEVELS or left.filter(F.col("size") > SMALL).isEmpty():
+        large = left.filter(F.col("size") > SMALL)
+        if level == LEVELS or large.isEmpty():
             break
-        left, more = split(left.filter(F.col("size") > SMALL).select("region", "node", "n", "i"), texts, level)
+        left, more = split(large.select("region", "node", "n", "i"), texts, level)
         links = links.unionByName(more.filter("linked").select("a", "b"))
         roots = connected_components(links)
+        if left.count() > SPREAD * large.count():
+            found.append(stage(_pairs_left(_with_roots(large.drop("root"), roots)), "pairs"))
+            break
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.unionByName(f)
@@ -289,11 +299,13 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         links = links.unionByName(distances(pairs, texts).filter("linked").select("a", "b"))
         roots = connected_components(links)
 
-    named = _with_roots(points.select("node", "key", "least"), roots)
+    named = _with_roots(names, roots)
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"), first.alias("first"))
     classes = named.join(least, "root").select("key", "least", "component_id", (F.col("key") == F.col("first.key")).alias("chosen"))
-    return sig.select("doc_id", "key", "n"), stage(classes, "classes")
+    classes = stage(classes, "classes")
+    release(texts, members, near, names)
+    return slim, classes
 
 
 def join_components(docs: DataFrame) -> DataFrame:

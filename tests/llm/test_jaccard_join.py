@@ -69,6 +69,7 @@ def test_edge_rows(make_docs):
 def test_groups_and_chains(make_docs, monkeypatch, seed):
     """Chains of edits, hubs of near copies and shared passages; regions of more than 3 documents are split."""
     monkeypatch.setattr(op2, "SMALL", 3)
+    monkeypatch.setattr(op2, "SPREAD", 100 if seed == 1 else 2)
     rnd = random.Random(seed)
     vocab = [f"w{k}" for k in range(400)]
     passage = [rnd.choice(vocab) for _ in range(60)]
