@@ -86,5 +86,23 @@ SELECT doc_id, item_id, arg_max(n, k / n)::BIGINT AS n_windows, arg_max(k, k / n
 FROM w WHERE k / n >= 0.5 GROUP BY doc_id, item_id"""
 
 
+_CHAT = r"""
+WITH c AS (SELECT conv_id, turn, role, text, coalesce(role, '') AS r, coalesce(text, '') AS t FROM (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')),
+n AS (SELECT *, row_number() OVER w AS k, lag(r) OVER w AS before,
+        length(t) + len(regexp_extract_all(t, '\\|###|:|</turn>')) + length(r) + len(regexp_extract_all(r, '\\|###|:|</turn>'))
+        + length('### : </turn>') + 1 AS chars
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY k) FILTER (r = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars,
+       bool_and(CASE r WHEN 'system' THEN k = 1 WHEN 'user' THEN k = 1 OR before IN ('system', 'assistant', 'tool')
+                       WHEN 'assistant' THEN k > 1 AND before IN ('user', 'tool')
+                       WHEN 'tool' THEN k > 1 AND before = 'assistant' ELSE false END) AS order_ok
+FROM n GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": _secrets(), "op10_decontamination": _leaks()}
+    return {"op1_secrets": _secrets(), "op8_chat": _CHAT, "op10_decontamination": _leaks()}
