@@ -18,13 +18,16 @@ from pyspark.sql import functions as F
 from tallyspark.llm import op01_secrets, op02_jaccard_join, op06_language, op09_packing, op10_decontamination
 from tallyspark.llm.common import prepare, stage, table
 
+#: Near copies have at least so many hundredths of their shingles of so many words in common (op2's query: 3 and 90).
+NEAR_SHINGLE, NEAR_SHARE = 5, 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op06_language.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op02_jaccard_join.keep_one(docs)
+    return op02_jaccard_join.keep_one(docs, shingle=NEAR_SHINGLE, share=NEAR_SHARE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
