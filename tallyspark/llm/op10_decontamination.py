@@ -37,6 +37,10 @@ COVERAGE = 0.5
 BITMAP_LOG2 = 18
 #: Punctuation that is cut off the end of a token.
 MARKS = ".,;:!?\"')]}"
+#: For the stage: more of these, what is cut off the beginning of a token, and the quotes and brackets among that.
+WIDE_MARKS = MARKS + "”’»%"
+QUOTES = "([{\"'`“”„‘’«»¿¡"
+LEADS = QUOTES + "$€£¥₹#<>=+-−–±~≈*_/&@"
 #: FIXED VALUES: words that are units when they follow a number.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "ft", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram",
          "grams", "ton", "tons", "ounce", "ounces", "pound", "pounds", "lb", "lbs", "ml", "l", "liter", "liters", "litre", "litres",
@@ -149,6 +153,94 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
         F.round(F.max(share), 6).alias("coverage"), F.max("same_values").alias("same_values"))
 
 
+#: Ways to read a token.  ``words`` is for items without a usable window in any other; they must be there whole.
+READINGS = {"plain": template}
+
+
+def _read_tokens(df: DataFrame, text: Column) -> DataFrame:
+    """Adds ``raw``, ``low`` and ``core`` (``raw`` without the marks and signs before a token)."""
+    bare = lambda t: F.when(((t >= "0") & (t < ":")) | ((t >= "A") & (t < "[")) | ((t >= "a") & (t < "{")), t) \
+        .otherwise(F.ltrim(t, F.lit(LEADS)))
+    return with_tokens(df, text).withColumn("core", F.transform("raw", bare))
+
+
+def _stage_windows(benchmark: DataFrame) -> DataFrame:
+    """(item, reading, place, size, hash, ends, raw, kinds, n_windows) of every distinct item text with words."""
+    items = _read_tokens(benchmark.select(whole_text().alias("t")).dropDuplicates(), F.col("t")).filter(F.size("low") > 0)
+    readings = F.array(*[F.struct(F.lit(c).alias("reading"), F.transform("low", f).alias("kinds")) for c, f in READINGS.items()])
+    items = items.select(F.md5("t").alias("item"), "raw", F.explode(readings).alias("x")).select("item", "raw", "x.*")
+    size = F.least(F.lit(WINDOW), F.size("kinds"))
+    w = items.select("*", size.alias("size"), F.explode(F.sequence(F.lit(0), F.size("kinds") - size)).alias("place"))
+    w = w.select("item", "reading", "place", "size", F.slice("raw", F.col("place") + 1, F.col("size")).alias("raw"),
+                 F.slice("kinds", F.col("place") + 1, F.col("size")).alias("kinds"))
+    words = F.col("reading") == "words"
+    w = w.filter(words | (F.size(F.filter("kinds", lambda t: ~_slots(t))) >= LITERALS))
+    usable = w.filter(~words).select("item").distinct()
+    w = w.filter(~words).unionByName(w.filter(words).join(usable, "item", "left_anti"))
+    totals = w.groupBy("item", "reading").agg(F.countDistinct("place").alias("n_windows"))
+    # in a document a number may come before the item's first word, which makes a unit of it
+    first = F.get("kinds", F.lit(0))
+    unit = (F.col("place") == 0) & ~words & F.array_contains(F.array(*[F.lit(u) for u in UNITS]), first)
+    other = F.concat(F.array(F.lit("<unit>")), F.slice("kinds", F.lit(2), F.greatest(F.col("size") - 1, F.lit(0))))
+    w = w.withColumn("kinds", F.explode(F.when(unit, F.array("kinds", other)).otherwise(F.array("kinds"))))
+    return w.withColumn("hash", F.xxhash64("reading", F.transform("kinds", lambda t: F.xxhash64(t)))) \
+        .withColumn("ends", F.xxhash64("reading", F.xxhash64(F.get("kinds", F.lit(0))), F.xxhash64(F.get("kinds", F.col("size") - 1)))) \
+        .join(totals, ["item", "reading"])
+
+
+def _stage_hits(docs: DataFrame, bits: DataFrame, windows: list[tuple[str, int]]) -> DataFrame:
+    """(key, at, hash, raw): the documents' windows that pass the bitmap, for each reading and window size in use."""
+    rows = _read_tokens(docs.select(content_key().alias("key"), whole_text().alias("t")), F.col("t")).drop("t")
+    for c in sorted({c for c, _ in windows}):
+        rows = rows.withColumn(c, F.transform("low", lambda t, i: F.xxhash64(READINGS[c](t, i))))  # noqa: B023
+    rows = rows.drop("low", "core").withColumn("bits", bits.scalar())
+
+    def passes(h: Column) -> Column:
+        low = h.bitwiseAND((1 << BITMAP_LOG2) - 1)
+        word = F.get(F.col("bits"), F.shiftright(low, 6).cast("int"))
+        return F.getbit(word, low.bitwiseAND(63).cast("int")) == 1
+
+    for c, n in windows:
+        places = F.when(F.size(c) >= n, F.sequence(F.lit(1), F.size(c) - (n - 1)))
+        rows = rows.withColumn(f"at_{c}_{n}", F.filter(places, lambda i: passes(  # noqa: B023
+            F.xxhash64(F.lit(c), F.get(c, i - 1), F.get(c, i + (n - 2)))) & passes(F.xxhash64(F.lit(c), F.slice(c, i, n)))))  # noqa: B023
+    empty = F.array().cast("array<struct<at:int,hash:bigint,raw:array<string>>>")
+    found = F.concat(empty, *[F.coalesce(F.transform(f"at_{c}_{n}", lambda i: F.struct(
+        (i - 1).alias("at"), F.xxhash64(F.lit(c), F.slice(c, i, n)).alias("hash"), F.slice("raw", i, n).alias("raw"))), empty)  # noqa: B023
+        for c, n in windows])
+    return _rows_of(rows, found, "x", "key").select("key", "x.*")
+
+
+def content_key() -> Column:
+    return F.unhex(F.md5(whole_text()))
+
+
+def leaked_texts(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """(key): the content keys of the documents in which an item was found.
+
+    Unlike ``leaks``, whose result the query's SQL fixes, this checks slot consistency window by window: a value of the
+    item that stands for two values of the document voids only the windows that hold both.  A window that is there word
+    for word is consistent.
+    """
+    prepare(docs.sparkSession)
+    windows = _stage_windows(benchmark)
+    used = sorted((r["reading"], r["size"]) for r in windows.select("reading", "size").distinct().collect())  # WINDOW a reading at most
+    hits = _stage_hits(docs, bitmap(windows), used)
+    own = windows.select("item", "reading", "place", "hash", "n_windows", F.col("raw").alias("item_raw"), "kinds")
+    m = hits.join(own, "hash").filter(F.size("raw") == F.size("item_raw"))
+    value = lambda t: F.rtrim(F.ltrim(t, F.lit(LEADS)), F.lit(WIDE_MARKS))
+    slots = F.filter(F.zip_with(F.arrays_zip("kinds", "item_raw"), "raw", lambda a, b: F.struct(
+        _slots(a["kinds"]).alias("slot"), value(a["item_raw"]).alias("item"), value(b).alias("doc"))), lambda s: s["slot"])
+    m = m.withColumn("pairs", F.array_distinct(slots))
+    m = m.filter(F.size(F.array_distinct(F.transform("pairs", lambda s: s["item"]))) == F.size("pairs"))
+    whole = F.col("reading") == "words"
+    line = F.when(whole, F.col("at") - F.col("place"))  # a whole item is on one diagonal
+    found = m.groupBy("key", "item", "reading", "n_windows", line.alias("line")).agg(F.countDistinct("place").alias("n_matched"))
+    share = F.col("n_matched") / F.col("n_windows")
+    return found.filter(share >= F.when(whole, 1.0).otherwise(coverage)).select("key").distinct()
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The documents in which no item was found; rows without an id can't be named by a finding and stay."""
-    return docs.join(leaks(docs, benchmark, coverage).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The documents in which no item was found; findings hold for a text, so rows need no id."""
+    bad = leaked_texts(docs, benchmark, coverage).select(F.col("key").alias("leak_key_"))
+    return docs.withColumn("leak_key_", content_key()).join(bad, "leak_key_", "left_anti").select(*docs.columns)
