@@ -41,6 +41,13 @@ MARKS = ".,;:!?\"')]}"
 WIDE_MARKS = MARKS + "”’»%"
 QUOTES = "([{\"'`“”„‘’«»¿¡"
 LEADS = QUOTES + "$€£¥₹#<>=+-−–±~≈*_/&@"
+#: Capitalised words that are never names.
+FUNCTION_WORDS = tuple("""a about above after all also although am an and another any are as at be because been before being below
+ between both but by can could did do does during each either else every few first five for four from given had has have he
+ her here hers him his how however i if in into is it its last let many may me more most much must my neither next no nor not
+ now of off on once one only or other our out over per second shall she should since so some such ten than that the their them
+ then there these they third this those three through to two under until up us was we were what when where whether which while
+ who whom whose why will with without would yet you your""".split())
 #: FIXED VALUES: words that are units when they follow a number.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "ft", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram",
          "grams", "ton", "tons", "ounce", "ounces", "pound", "pounds", "lb", "lbs", "ml", "l", "liter", "liters", "litre", "litres",
@@ -153,8 +160,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
         F.round(F.max(share), 6).alias("coverage"), F.max("same_values").alias("same_values"))
 
 
+def _wide_template(t: Column, i: Column) -> Column:
+    """Like ``template``, but the same wherever the token stands: marks and signs before it are cut off, capitals are those
+    of any script, and every capitalised word that is no function word is a name.  Reads ``core`` and ``raw``."""
+    own, before = F.get(F.col("core"), i), F.get(F.col("core"), i - 1)
+    low = F.lower(own)
+    word = F.rtrim(low, F.lit(WIDE_MARKS))
+    first = F.left(own, F.lit(1))
+    listed = lambda words: F.array_contains(F.array(*[F.lit(w) for w in words]), word)
+    name = (own != low) & (first != F.lower(first)) & (own != F.upper(own)) & ~listed(FUNCTION_WORDS)
+    unit = (before < ":") & (before >= "0") & listed(UNITS)
+    return F.when((own < ":") & (own >= "0"), F.lit("<num>")).when(name, F.lit("<name>")).when(unit, F.lit("<unit>")) \
+        .otherwise(F.when(word == "", t).otherwise(word))
+
+
 #: Ways to read a token.  ``words`` is for items without a usable window in any other; they must be there whole.
-READINGS = {"plain": template}
+READINGS = {"plain": template, "wide": _wide_template}
 
 
 def _read_tokens(df: DataFrame, text: Column) -> DataFrame:

@@ -25,3 +25,19 @@ ITEM = ("Yesterday morning the farmer Anna walked 12 km to the market and sold 3
 ])
 def test_a_slot_voids_only_its_windows(spark, make_docs, item, text):
     assert kept(spark, make_docs([(1, FILL + text + " " + FILL), (2, FILL), (None, FILL)]), [item]) == [-1, 2]
+
+
+TOM = ("Tom has 5 apples. Tom buys 3 more apples at the shop near home. Later that day Tom gives 2 apples to a friend. "
+       "How many apples are left in the end?")
+SHOP = ("A shirt in the shop costs $15 and a hat costs $8 while a coat costs $60 more than the hat. "
+        "What is the price of all of it after a discount of $9 at the till?")
+CITY = 'The lady called "Émilie" went to see the town of Łódź with a friend and stayed there for (5) nights in a small hotel'
+
+
+@pytest.mark.parametrize("item,text", [
+    (TOM, TOM.replace("Tom", "Anna")),
+    (SHOP, SHOP.replace("$15", "$25").replace("$8", "$11").replace("$60", "$75").replace("$9", "$4")),
+    (CITY, CITY.replace("Émilie", "Zoë").replace("Łódź", "Århus").replace("(5)", "(7)")),
+])
+def test_names_and_numbers_with_marks(spark, make_docs, item, text):
+    assert kept(spark, make_docs([(1, FILL + text + " " + FILL), (2, FILL)]), [item]) == [2]
