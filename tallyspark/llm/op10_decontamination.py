@@ -174,8 +174,14 @@ def _wide_template(t: Column, i: Column) -> Column:
         .otherwise(F.when(word == "", t).otherwise(word))
 
 
+def _word(t: Column, i: Column) -> Column:
+    """The lower-case token without quotes and brackets before it and punctuation after it."""
+    word = F.rtrim(F.ltrim(t, F.lit(QUOTES)), F.lit(WIDE_MARKS))
+    return F.when(word == "", t).otherwise(word)
+
+
 #: Ways to read a token.  ``words`` is for items without a usable window in any other; they must be there whole.
-READINGS = {"plain": template, "wide": _wide_template}
+READINGS = {"plain": template, "wide": _wide_template, "words": _word}
 
 
 def _read_tokens(df: DataFrame, text: Column) -> DataFrame:

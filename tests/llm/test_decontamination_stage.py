@@ -41,3 +41,22 @@ CITY = 'The lady called "Émilie" went to see the town of Łódź with a friend
 ])
 def test_names_and_numbers_with_marks(spark, make_docs, item, text):
     assert kept(spark, make_docs([(1, FILL + text + " " + FILL), (2, FILL)]), [item]) == [2]
+
+
+FRANCE, SUM, DAYS = "What is the capital city of France?", "Compute 45 + 67 * 3.", "days after which all of it ends"
+
+
+@pytest.mark.parametrize("item,text", [
+    (FRANCE, "Question: " + FRANCE + " Answer: Paris"), (SUM, FILL + SUM + " Thanks"), (SUM, "(" + SUM.lower() + ")"),
+    (DAYS, "it took 12 " + DAYS), ("12 30 42 7 9 4 5 6 8 11", "see 12 30 42 7 9 4 5 6 8 11 here"),
+])
+def test_short_and_number_heavy_items(spark, make_docs, item, text):
+    assert kept(spark, make_docs([(1, text), (2, "Compute 45 - 67 * 3."), (3, None)]), [item]) == [2, 3]
+
+
+def test_rows_without_id_and_shared_ids(spark, make_docs):
+    docs = make_docs([(None, TOM), (None, FILL), (7, TOM), (7, FILL), (8, "")], extra=True)
+    assert kept(spark, docs, [TOM, None, ""]) == [-1, 7, 8]
+    assert kept(spark, docs, []) == [-1, -1, 7, 7, 8] and kept(spark, make_docs([]), [TOM]) == []
+    bench = spark.createDataFrame([(1, TOM)], "item_id long, text string")
+    assert op10.drop_leaks(docs, bench).columns == docs.columns and corpus_pipeline.op10_decontamination is op10
