@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = op01_secrets.scan(docs, ["doc_id"], with_text=True)
+    rows = op01_secrets.scan(docs, ["doc_id"], rules=op01_secrets.WHOLE_RULES, with_text=True)
     rows = rows.withColumn("clean_text_", op01_secrets.redact(F.col("text"), F.col("spans")))
     n = F.when(F.size("spans") > 0, F.char_length("clean_text_").cast("long")).otherwise(F.col("n_chars"))
     new = {"text": F.col("clean_text_"), "n_chars": n}

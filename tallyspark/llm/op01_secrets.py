@@ -63,6 +63,17 @@ MORE_RULES = (
     Rule("url_login", 1, r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]{1,100}:[^\s/:@]{1,100}@", needs="://"),
 )
 RULES = BASE_RULES + MORE_RULES
+_KEY = r"[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_BREAK = r"(?:\s|\\[nr])"
+#: The rules for redaction: where a rule of the query's SQL finds a part of a secret or none, the whole.  A private key goes
+#: up to its END line; without one, over its header lines and base64 lines.
+WHOLE_RULES = tuple({
+    "private_key": Rule("private_key", 2, rf"-----BEGIN {_KEY}(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END {_KEY}"
+                        rf"|(?:{_BREAK}*+[A-Za-z-]++:\x20[^\r\n\\]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/=]{{20,}}+)*+"
+                        rf"(?:{_BREAK}++[A-Za-z0-9+/]++={{0,2}}+(?=[\x20\t]*+(?:[\r\n]|\\[nr]|\Z)))?+(?:{_BREAK}++=[A-Za-z0-9+/]{{4}})?+)",
+                        needs="PRIVATE KEY"),
+    "url_login": Rule("url_login", 2, r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]++:[^\s/:@]++@", needs="://"),
+}.get(r.kind, r) for r in RULES)
 
 
 def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
