@@ -104,5 +104,54 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(
 FROM n GROUP BY conv_id"""
 
 
+#: Unsigned crc32 of a decimal number, bit by bit (3988292384 is the reflected polynomial).
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)))"""
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR END"
+
+
+def _merkle() -> str:
+    own = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    changed = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", low))
+    return f"""
+WITH RECURSIVE f AS (SELECT doc_id, lang, sha256({own}) AS leaf,
+                            CASE WHEN {_CRC.format('doc_id')} % 3 = 0 THEN sha256({changed}) END AS changed FROM documents),
+l AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+             row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM f),
+t AS (SELECT 0 AS lev, tree, pos, n, leaf AS h FROM l
+      UNION ALL
+      SELECT lev + 1, tree, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lev, tree, pos // 8, n),
+s AS (SELECT 0 AS lev, tree AS pos, count(*) OVER () AS n, h FROM t WHERE n = 1
+      UNION ALL
+      SELECT lev + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM s WHERE n > 1 GROUP BY lev, pos // 8, n),
+u AS (SELECT 0 AS up, lev, tree, pos, n, h FROM t UNION ALL SELECT 1, lev, 0, pos, n, h FROM s),
+g AS (SELECT a.up, a.lev, a.tree, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lft,
+             coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS rgt
+      FROM u a JOIN u b ON a.up = b.up AND a.lev = b.lev AND a.tree = b.tree AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY a.up, a.lev, a.tree, a.pos),
+p AS (SELECT l.doc_id, l.leaf, l.tree, l.pos, coalesce(changed, leaf) AS start, list({{'a': g.lft, 'b': g.rgt}} ORDER BY g.up, g.lev) FILTER (g.lev IS NOT NULL) AS path
+      FROM l LEFT JOIN g ON (g.up = 0 AND g.tree = l.tree AND g.pos = l.pos // (8 ** g.lev)::BIGINT) OR (g.up = 1 AND g.pos = l.tree // (8 ** g.lev)::BIGINT)
+      GROUP BY l.doc_id, l.leaf, l.tree, l.pos, start),
+o AS (SELECT doc_id, leaf, (SELECT h FROM t WHERE n = 1 AND t.tree = p.tree) AS subroot, (SELECT h FROM s WHERE n = 1) AS root,
+             sha256(coalesce(list_aggregate(list_transform(path, lambda x: x.a || x.b), 'string_agg', ''), '')) AS proof_sha256,
+             list_reduce(list_prepend({{'a': start, 'b': ''}}, coalesce(path, [])), lambda h, x: {{'a': sha256(x.a || h.a || x.b), 'b': ''}}).a AS folded_root FROM p)
+SELECT *, folded_root = root AS verified FROM o"""
+
+
+_REPEATS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+h AS (SELECT r, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM p),
+s AS (SELECT r, i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+v AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM s),
+k AS (SELECT d.r, x.k, w[x.k] AS word FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS k) x),
+a AS (SELECT k.r, count(v.k) AS n_removed, string_agg(word, ' ' ORDER BY k.k) FILTER (v.k IS NULL) AS kept
+      FROM k LEFT JOIN v ON k.r = v.r AND k.k = v.k GROUP BY k.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": _secrets(), "op8_chat": _CHAT, "op10_decontamination": _leaks()}
+    return {"op1_secrets": _secrets(), "op8_chat": _CHAT, "op10_decontamination": _leaks(), "op11_merkle": _merkle(),
+            "op12_substring_dedup": _REPEATS}

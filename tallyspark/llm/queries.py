@@ -17,6 +17,8 @@ from tallyspark.llm import (
     op08_chat,
     op09_packing,
     op10_decontamination,
+    op11_merkle,
+    op12_substring_dedup,
 )
 from tallyspark.llm.common import table
 
@@ -36,4 +38,6 @@ def queries() -> dict[str, Query]:
         "op8_chat": lambda s, d: op08_chat.chat_digests(table(s, d, "conversations")),
         "op9_packing": lambda s, d: op09_packing.pack(docs(s, d)),
         "op10_decontamination": lambda s, d: op10_decontamination.leaks(docs(s, d), table(s, d, "benchmark")),
+        "op11_merkle": lambda s, d: op11_merkle.manifest(docs(s, d)),
+        "op12_substring_dedup": lambda s, d: op12_substring_dedup.kept_texts(docs(s, d)),
     }
