@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import prepare, shared_path, stage, whole_text
+from tallyspark.llm.common import drop_shuffles, prepare, shared_path, stage, whole_text
 
 LENGTH = 35
 PERIOD = 21
@@ -183,6 +183,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
     out = spark.table(name)
     out.schema  # resolved before the entry goes
     spark.sql(f"DROP TABLE {name}")
+    drop_shuffles(spark)
     return out
 
 
