@@ -152,6 +152,27 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM d LEFT JOIN a USING (r)"""
 
 
+_TRIE = rf"""
+WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t, turn FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, r, t, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(strlen(r)::VARCHAR || ':' || r || t)) AS k FROM o),
+h AS (SELECT c, c - c % 20 AS base, {_CRC.format('c')} % 4 AS h FROM (SELECT DISTINCT c FROM n)),
+x AS (SELECT h.c, 0 AS part, k, r, t FROM h JOIN n ON n.c = h.base AND n.k <= h.h UNION ALL SELECT n.c, 1, k, r, t FROM n JOIN h USING (c) WHERE k > h.h),
+s AS (SELECT c, r, t, row_number() OVER (PARTITION BY c ORDER BY part, k) AS d FROM x),
+l AS (SELECT h.c, coalesce(max(d), 0) AS len FROM h LEFT JOIN s USING (c) GROUP BY h.c),
+p AS (SELECT c, 0 AS d, sha256('') AS name, 0 AS w FROM h
+      UNION ALL SELECT c, d, sha256(string_agg(strlen(r)::VARCHAR || ':' || r || strlen(t)::VARCHAR || ':' || t, '') OVER (PARTITION BY c ORDER BY d)),
+                       len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) FROM s),
+m AS (SELECT name, any_value(d) AS d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS own,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = len), '')) AS ends_sha256 FROM p JOIN l USING (c) GROUP BY name),
+u AS (SELECT m.name, a.name AS parent FROM m JOIN p a ON a.c = m.conv_id AND a.d = m.d - 1),
+k AS (SELECT parent AS name, count(*) AS n_children FROM u GROUP BY parent),
+b AS (SELECT a.name, sum(own) AS saved, count(*) FILTER (k.name IS NULL) AS n_leaves
+      FROM m JOIN p a ON a.c = m.conv_id AND a.d <= m.d LEFT JOIN k ON k.name = m.name GROUP BY a.name)
+SELECT m.conv_id, m.d::BIGINT AS depth, q.conv_id AS parent_conv_id, n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+       n_leaves, saved::BIGINT AS saved_tokens, ends_sha256
+FROM m JOIN b USING (name) LEFT JOIN k USING (name) LEFT JOIN u USING (name) LEFT JOIN m q ON q.name = u.parent"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_secrets": _secrets(), "op8_chat": _CHAT, "op10_decontamination": _leaks(), "op11_merkle": _merkle(),
-            "op12_substring_dedup": _REPEATS}
+            "op12_substring_dedup": _REPEATS, "op13_prefix_trie": _TRIE}

@@ -19,6 +19,7 @@ from tallyspark.llm import (
     op10_decontamination,
     op11_merkle,
     op12_substring_dedup,
+    op13_prefix_trie,
 )
 from tallyspark.llm.common import table
 
@@ -40,4 +41,5 @@ def queries() -> dict[str, Query]:
         "op10_decontamination": lambda s, d: op10_decontamination.leaks(docs(s, d), table(s, d, "benchmark")),
         "op11_merkle": lambda s, d: op11_merkle.manifest(docs(s, d)),
         "op12_substring_dedup": lambda s, d: op12_substring_dedup.kept_texts(docs(s, d)),
+        "op13_prefix_trie": lambda s, d: op13_prefix_trie.trie(table(s, d, "conversations")),
     }
