@@ -1,13 +1,15 @@
 """The pipeline's stages against brute force on whole tables."""
 
+import re
 import zlib
 
 import numpy as np
 
 import corpus_pipeline
-from tallyspark.llm import op06_language, op10_decontamination, tokens
+from tallyspark.llm import op06_language, tokens
+from tallyspark.llm import op10_decontamination as op10
 from tallyspark.llm.common import table
-from tests.llm.test_jaccard_join import brute as jaccard_brute
+from tests.llm.test_near_copies import least
 from tests.llm.test_secrets import BASE
 
 SF = "/root/testdata/sf0.01"
@@ -29,40 +31,58 @@ def languages(rows):
     return kept
 
 
-def templates(text):
+def readings(text):
+    """The tokens of a text and their templates in each reading of the decontamination stage."""
     raw = [w for w in text.translate({9: " ", 10: " ", 11: " ", 12: " ", 13: " "}).split(" ") if w]
-    out = []
+    core = [w if re.match("[0-9A-Za-z]", w) else w.lstrip(op10.LEADS) for w in raw]
+    digit = lambda w: "0" <= w[:1] <= "9"
+    plain, wide, words = [], [], []
     for i, w in enumerate(raw):
-        word, before = w.lower().rstrip(op10_decontamination.MARKS), raw[i - 1] if i else ""
-        if "0" <= w[0] <= "9":
-            out.append("<num>")
-        elif i and "A" <= w[0] <= "Z" and w != w.upper() and before[-1] not in ".!?":
-            out.append("<name>")
-        elif i and "0" <= before[0] <= "9" and word in op10_decontamination.UNITS:
-            out.append("<unit>")
-        else:
-            out.append(word)
-    return raw, out
-
-
-def leaked(text, item, size=8):
-    (draw, d), (iraw, b) = templates(text), templates(item)
-    size = min(size, len(b))
-    use = [q for q in range(len(b) - size + 1) if sum(not x.startswith("<") for x in b[q:q + size]) >= 4]
-    at = {}
-    for p in range(len(d) - size + 1):
-        at.setdefault(tuple(d[p:p + size]), []).append(p)
-    lines = {}
-    for q in use:
-        for p in at.get(tuple(b[q:q + size]), ()):
-            lines.setdefault(p - q, []).append(q)
-    found = set()
-    for diagonal, qs in lines.items():
-        pairs = {(iraw[k].rstrip(op10_decontamination.MARKS), draw[k + diagonal].rstrip(op10_decontamination.MARKS))
-                 for q in qs for k in range(q, q + size) if b[k].startswith("<")}
-        if len({x for x, _ in pairs}) == len(pairs):
-            found |= set(qs)
-    return use and len(found) / len(use) >= 0.5
+        low, before = w.lower(), raw[i - 1] if i else ""
+        word = low.rstrip(op10.MARKS)
+        name = i and "A" <= w[0] <= "Z" and w != w.upper() and before[-1] not in ".!?"
+        plain.append("<num>" if digit(low) else "<name>" if name else "<unit>" if i and digit(before) and word in op10.UNITS else word)
+        own, word = core[i], core[i].lower().rstrip(op10.WIDE_MARKS)
+        name = own != own.lower() and own[0] != own[0].lower() and own != own.upper() and word not in op10.FUNCTION_WORDS
+        wide.append("<num>" if digit(own) else "<name>" if name else "<unit>" if i and digit(core[i - 1]) and word in op10.UNITS else word or low)
+        words.append(low.lstrip(op10.QUOTES).rstrip(op10.WIDE_MARKS) or low)
+    return raw, {"plain": plain, "wide": wide, "words": words}
+
+
+def item_windows(items):
+    """Templates of a window -> its places: (item, reading, place, its tokens, windows of the item)."""
+    out = {}
+    for text in set(items):
+        raw, kinds = readings(text)
+        size, found = min(8, len(raw)), {}
+        for reading, own in kinds.items():
+            for p in range(len(own) - size + 1 if own else 0):
+                if reading == "words" or sum(not x.startswith("<") for x in own[p:p + size]) >= 4:
+                    found.setdefault(reading, []).append(p)
+        if len(found) > 1:
+            found.pop("words")
+        for reading, places in found.items():
+            for p in places:
+                own = tuple(kinds[reading][p:p + size])
+                for w in {own, ("<unit>", *own[1:]) if p == 0 and reading != "words" and own[0] in op10.UNITS else own}:
+                    out.setdefault((reading, w), []).append((text, p, raw[p:p + size], len(places)))
+    return out
+
+
+def leaked(text, windows):
+    raw, kinds = readings(text)
+    value = lambda w: w.lstrip(op10.LEADS).rstrip(op10.WIDE_MARKS)
+    found, total = {}, {}
+    for size in {len(w) for _, w in windows}:
+        for reading, own in kinds.items():
+            for at in range(len(own) - size + 1):
+                for item, place, item_raw, n in windows.get((reading, tuple(own[at:at + size])), ()):
+                    pairs = {(value(a), value(b)) for k, a, b in zip(own[at:at + size], item_raw, raw[at:at + size]) if k.startswith("<")}
+                    if len({a for a, _ in pairs}) == len(pairs):
+                        key = (item, reading, at - place if reading == "words" else None)
+                        found.setdefault(key, set()).add(place)
+                        total[key] = n
+    return any(len(p) / total[k] >= (1 if k[1] == "words" else 0.5) for k, p in found.items())
 
 
 def test_stages_and_run(spark):
@@ -79,13 +99,10 @@ def test_stages_and_run(spark):
     ids = {name: sorted(r["doc_id"] for r in df.select("doc_id").collect()) for name, df in out.items()}
     kept = languages(rows)
     assert ids["language"] == sorted(kept)
-    comp = {i: c for i, _, c in jaccard_brute([(i, text[i]) for i in sorted(kept)])}
-    kept = {i for i in kept if comp[i] == i}
+    kept = set(least([(i, text[i]) for i in sorted(kept)]))
     assert ids["near_duplicates"] == sorted(kept)
-    grams = lambda t: {tuple(t[p:p + 8]) for p in range(max(1, len(t) - 7))}
-    windows = set().union(*[grams(templates(t)[1]) for t in items])
-    near = {i for i in kept if grams(templates(text[i])[1]) & windows}
-    bad = {i for i in near if any(leaked(text[i], t) for t in items)}
+    windows = item_windows(items)
+    bad = {i for i in kept if leaked(text[i], windows)}
     kept -= bad
     assert bad and ids["decontamination"] == sorted(kept) == ids["secrets"]
     for r in out["secrets"].collect():

@@ -39,6 +39,6 @@ def test_planted(make_docs, bench, text, found, same):
 def test_rows_and_empty_tables(spark, make_docs, bench):
     docs = make_docs([(7, OTHER), (7, OTHER), (9, FILL), (None, OTHER)])
     kept = op10.drop_leaks(docs, bench).collect()
-    assert sorted(str(r["doc_id"]) for r in kept) == ["9", "None"]
+    assert [r["doc_id"] for r in kept] == [9]       # a contaminated row goes, with an id or without
     assert op10.leaks(make_docs([]), bench).count() == 0
     assert op10.leaks(docs, bench.limit(0)).count() == 0
