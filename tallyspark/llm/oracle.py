@@ -168,8 +168,8 @@ u AS (SELECT m.name, a.name AS parent FROM m JOIN p a ON a.c = m.conv_id AND a.d
 k AS (SELECT parent AS name, count(*) AS n_children FROM u GROUP BY parent),
 b AS (SELECT a.name, sum(own) AS saved, count(*) FILTER (k.name IS NULL) AS n_leaves
       FROM m JOIN p a ON a.c = m.conv_id AND a.d <= m.d LEFT JOIN k ON k.name = m.name GROUP BY a.name)
-SELECT m.conv_id, m.d::BIGINT AS depth, q.conv_id AS parent_conv_id, n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
-       n_leaves, saved::BIGINT AS saved_tokens, ends_sha256
+SELECT m.conv_id, m.d::BIGINT AS depth, q.conv_id AS parent_conv_id, m.n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+       n_leaves, saved::BIGINT AS saved_tokens, m.ends_sha256
 FROM m JOIN b USING (name) LEFT JOIN k USING (name) LEFT JOIN u USING (name) LEFT JOIN m q ON q.name = u.parent"""
 
 
