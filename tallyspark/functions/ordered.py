@@ -51,15 +51,16 @@ def unpivot(df: DataFrame, id_cols: list[str], metrics: dict[str, Column | str])
               .select(*id_cols, "_kv.metric", "_kv.value"))
 
 
-def rank_table(long_df: DataFrame, partitions: int | None = None) -> DataFrame:
+def rank_table(long_df: DataFrame, partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """``(metric, value, c, before, n)`` for every distinct non-null value.
 
     ``c`` = rows with this value, ``before`` = rows of the metric strictly
-    below it, ``n`` = non-null rows of the metric.
+    below it, ``n`` = non-null rows of the metric.  With ``weight``, a row counts
+    as many times as that column says (0: the value is ranked but not counted).
     """
     p = partitions or shuffle_partitions(long_df.sparkSession)
     dv = (long_df.where(F.col("value").isNotNull() & ~F.isnan("value"))
-                 .groupBy("metric", "value").agg(F.count(F.lit(1)).alias("c")))
+                 .groupBy("metric", "value").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("c")))
     # Range bounds come from a sample; materialise the sliced table once so the
     # offsets and the in-slice running counts see the very same slices.
     rp = cut_lineage(dv.repartitionByRange(p, "metric", "value").withColumn("_pid", F.spark_partition_id()))
@@ -79,6 +80,22 @@ def rank_table(long_df: DataFrame, partitions: int | None = None) -> DataFrame:
                          (F.col("_off") + F.col("_run") - F.col("c")).alias("before"), "n"))
 
 
+def places(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``df`` with ``place``, from 0 by ``order`` inside each ``group``; ``order`` ends in a unique column.
+
+    Rows are dealt in slices by range; each slice starts at the number of rows before it, so no
+    task numbers a whole group.
+    """
+    rp = cut_lineage(df.repartitionByRange(group, *order).withColumn("_pid", F.spark_partition_id()))
+    sizes = rp.groupBy(group, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(group, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(group, "_pid").orderBy(*order)
+    # starts has at most (partitions + groups) rows
+    return (rp.join(starts, [group, "_pid"]).withColumn("place", F.col("_off") + F.row_number().over(inside) - 1)
+              .drop("_pid", "_off"))
+
+
 def quantiles_from_ranks(rt: DataFrame, probs: dict[str, list[float]]) -> DataFrame:
     """Exact linear-interpolated quantiles ``(metric, p, q)`` from a rank table.
 

@@ -352,8 +352,9 @@ def _prank(expr: str, part: str) -> str:
             f"(count(*) OVER (PARTITION BY {part}) - 1) / CAST(2 AS DOUBLE)) / count({part}) OVER () END)")
 
 
-def risk_ctes(src: str, cols: set[str], mode: str = "percentile") -> list[str]:
-    """CTEs ending in ``risk`` over the table ``src`` with columns ``cols``."""
+def risk_ctes(src: str, cols: set[str], mode: str = "percentile", flagged: str = "") -> list[str]:
+    """CTEs ending in ``risk`` over the table ``src`` with columns ``cols``; ``flagged``: SQL of the row_ids with anomaly risk."""
+    anomaly = f"(CASE WHEN row_id IN ({flagged}) THEN CAST(100 AS DOUBLE) ELSE 0 END)" if flagged else "CAST(0 AS DOUBLE)"
     med_cols = [c for c in ["CostRevenueRatio", "ProfitMargin", "RevenuePerHour", "EfficiencyScore",
                             "HoursPerTask", "NumDepartments", "NumTasks", "DepartmentDiversity",
                             "WorkIntensityEarly", "ProjectDuration"] if c in cols]
@@ -428,7 +429,7 @@ def risk_ctes(src: str, cols: set[str], mode: str = "percentile") -> list[str]:
     clipped = lambda e: f"least(greatest({e}, 0), 100)"
     ctes.append(f"""rcomp AS (
   SELECT row_id, ProjectCode, {clipped(add(fin))} AS FinancialRisk, {clipped(add(eff))} AS EfficiencyRisk,
-         {clipped(add(cx))} AS ComplexityRisk, {clipped(add(tl))} AS TimelineRisk, CAST(0 AS DOUBLE) AS AnomalyRisk
+         {clipped(add(cx))} AS ComplexityRisk, {clipped(add(tl))} AS TimelineRisk, {anomaly} AS AnomalyRisk
   FROM rrk)""")
     total = " + ".join(["CAST(0 AS DOUBLE)"] + [f"{c} * CAST({w} AS DOUBLE)" for c, w in config.RISK_WEIGHTS])
     levels = " ".join(f"WHEN t > {lo} AND t <= {hi} THEN '{nm}'" for nm, lo, hi in config.RISK_LEVELS)
@@ -574,7 +575,8 @@ LEFT JOIN (SELECT CAST(CASE WHEN hi - lo > 0 THEN least(floor((TotalRiskScore -
 # Models with exact SQL equivalents (M1, M6 + M8, M11)
 # ---------------------------------------------------------------------------
 
-def _scale_ctes(src: str, cols: list[str], id_expr: str = "row_id", extra: list[str] | None = None) -> list[str]:
+def _scale_ctes(src: str, cols: list[str], id_expr: str = "row_id", extra: list[str] | None = None, fitted: str = "true") -> list[str]:
+    """``mx``: all rows of ``src``, filled and scaled by the statistics of those where ``fitted`` holds."""
     qc = [q(c) for c in cols]
     med = ", ".join(f"quantile_cont({c}, 0.5) AS m{i}" for i, c in enumerate(qc))
     fill = ", ".join(f"coalesce(CAST({c} AS DOUBLE), m{i}) AS v{i}" for i, c in enumerate(qc))
@@ -582,9 +584,9 @@ def _scale_ctes(src: str, cols: list[str], id_expr: str = "row_id", extra: list[
     sc = ", ".join(f"(v{i} - mu{i}) / (CASE WHEN sd{i} = 0 OR sd{i} IS NULL THEN 1 ELSE sd{i} END) AS {c}"
                    for i, c in enumerate(qc))
     ex = "".join(f", {e}" for e in (extra or []))
-    return [f"mmed AS (SELECT {med} FROM {src})",
+    return [f"mmed AS (SELECT {med} FROM {src} WHERE {fitted})",
             f"mfil AS (SELECT {id_expr} AS row_id{ex}, {fill} FROM {src}, mmed)",
-            f"mmom AS (SELECT {mom} FROM mfil)",
+            f"mmom AS (SELECT {mom} FROM mfil WHERE {fitted})",
             f"mx AS (SELECT row_id{ex}, {sc} FROM mfil, mmom)"]
 
 
@@ -602,6 +604,45 @@ def _lof_ctes(cols: list[str], k: int) -> list[str]:
     ]
 
 
+def _draw(key: str, salt: str, seed: int = 42) -> str:
+    """The forest's draws: fifth powers modulo 2^31 - 1 (2147483647), spelled out."""
+    fifth = lambda x: f"list_transform([{x}], lambda x: ((x * x % 2147483647) * (x * x % 2147483647) % 2147483647) * x % 2147483647)[1]"
+    return fifth(f"({fifth(f'(({key}) % 2147483647 + 2147483647 + {seed}) % 2147483647')} * 48271 + ({salt}) * 69621 + 12345) % 2147483647")
+
+
+def _forest_ctes(cols: list[str], fitted: str = "true", trees: int = 100, psi: int = 256, levels: int = 8) -> list[str]:
+    """Isolation forest over ``mx``, grown level by level on the rows where ``fitted`` holds, and the scores of all rows.
+
+    ift: rows of a tree and the node they are in; ifs: splits; iflf: nodes with their sizes; ifp: path lengths; ifo: offset;
+    ifx (row_id, score, decision): the result.
+    """
+    vals = ", ".join(f"CAST(sign({q(c)}) * floor(abs({q(c)}) * 1e9 + 0.5) / 1e9 AS DOUBLE)" for c in cols)
+    out = [f"ifv AS MATERIALIZED (SELECT row_id AS id, [{vals}] AS v, ({fitted}) AS fitted FROM mx)",
+           "ifl AS MATERIALIZED (SELECT id, unnest(range(0, len(v))) AS f, unnest(v) AS x FROM ifv WHERE fitted)",
+           f"""ift0 AS MATERIALIZED (SELECT t, id, CAST(1 AS BIGINT) AS node FROM (
+  SELECT t, id, row_number() OVER (PARTITION BY t ORDER BY {_draw('id', 't')}, id) AS k
+  FROM ifv, (SELECT unnest(range(0, {trees})) AS t) WHERE fitted) WHERE k <= {psi})"""]
+    for lev in range(levels):
+        place = "t * 1000003 + node"
+        out += [f"""ifr{lev} AS (SELECT t, node, f, min(x) AS lo, max(x) AS hi FROM ift{lev} JOIN ifl USING (id) GROUP BY t, node, f),
+ifs{lev} AS MATERIALIZED (SELECT t, node, f, lo + {_draw(place, '2')} / CAST(2147483647 AS DOUBLE) * (hi - lo) AS thr
+  FROM (SELECT *, row_number() OVER (PARTITION BY t, node ORDER BY f) - 1 AS k, count(*) OVER (PARTITION BY t, node) AS m FROM ifr{lev} WHERE hi > lo)
+  WHERE k = {_draw(place, '1')} * m // 2147483647)""",
+                f"""ift{lev + 1} AS MATERIALIZED (SELECT t, id, 2 * node + CAST(x >= thr AS BIGINT) AS node
+  FROM ift{lev} JOIN ifs{lev} USING (t, node) JOIN ifl USING (id, f))"""]
+    out.append("ifs AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM ifs{lev}" for lev in range(levels)) + ")")
+    out.append("iflf AS MATERIALIZED (SELECT t, node, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT t, node FROM ift{lev}" for lev in range(levels + 1)) + ") GROUP BY ALL)")
+    out.append(f"ifw0 AS (SELECT id, t, CAST(1 AS BIGINT) AS node FROM ifv, (SELECT unnest(range(0, {trees})) AS t))")
+    for lev in range(levels):
+        out.append(f"""ifw{lev + 1} AS MATERIALIZED (SELECT w.id, w.t, CASE WHEN s.f IS NULL THEN w.node ELSE 2 * w.node + CAST(v[s.f + 1] >= s.thr AS BIGINT) END AS node
+  FROM ifw{lev} w JOIN ifv USING (id) LEFT JOIN ifs s ON s.t = w.t AND s.node = w.node)""")
+    c = lambda n: f"CASE WHEN {n} < 2 THEN 0 WHEN {n} = 2 THEN 1 ELSE 2 * (ln({n} - 1) + 0.5772156649) - 2 * ({n} - 1) / CAST({n} AS DOUBLE) END"
+    out.append(f"""ifp AS (SELECT id, avg(floor(log2(w.node)) + {c('l.n')}) AS h FROM ifw{levels} w JOIN iflf l ON l.t = w.t AND l.node = w.node GROUP BY id),
+ifg AS MATERIALIZED (SELECT id AS row_id, fitted, round(-power(2, -h / ({c(f'least({psi}, (SELECT count(*) FROM ifv WHERE fitted))')})), 12) AS score FROM ifp JOIN ifv USING (id)),
+ifx AS MATERIALIZED (SELECT row_id, fitted, score, score - (SELECT quantile_cont(score, 0.1) FROM ifg WHERE fitted) AS decision FROM ifg)""")
+    return out
+
+
 EMB_DIMS = 64
 
 
@@ -614,6 +655,30 @@ def models_sql(keys: list[str], feature_cols: list[str]) -> dict[str, str]:
     out = {}
     base = with_(PROJ, WH, PW, FS, *feature_ctes(keys), *_scale_ctes("feat", feature_cols))
     out["model_matrix"] = base + f"SELECT row_id, {', '.join(r(q(c), c) for c in feature_cols)} FROM mx"
+    forest = with_(PROJ, WH, PW, FS, *feature_ctes(keys), *_scale_ctes("feat", feature_cols), *_forest_ctes(feature_cols))
+    out["isolation_forest_scores"] = forest + f"SELECT row_id AS id, {r('score')}, {r('decision')}, CASE WHEN decision < 0 THEN -1 ELSE 1 END AS label FROM ifx"
+    held = f"{_draw('row_id', '0', 7)} % 5 = 0"
+    split = with_(PROJ, WH, PW, FS, *feature_ctes(keys), *_scale_ctes("feat", feature_cols, fitted=f"NOT {held}"),
+                  *_forest_ctes(feature_cols, f"NOT {_draw('mx.row_id', '0', 7)} % 5 = 0"))
+    out["forest_check_new"] = split + f"SELECT row_id, {r('decision')}, decision < 0 AS is_anomaly FROM ifx WHERE NOT fitted"
+    top = " UNION ALL ".join(f"SELECT row_id, '{c}' AS feature, {q(c)} AS val FROM mx" for c in feature_cols)
+    out["forest_explanations"] = forest.rstrip("\n") + f""",
+lg AS ({top}),
+fst AS (SELECT feature, avg(val) AS mu, stddev_samp(val) AS sd FROM lg GROUP BY feature),
+zz AS (SELECT lg.row_id, lg.feature, round((val - mu) / nullif(sd, 0), 9) AS z, decision FROM lg JOIN fst ON lg.feature = fst.feature
+       JOIN ifx ON ifx.row_id = lg.row_id AND decision < 0),
+tk AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(z) DESC NULLS LAST, feature) AS rank FROM zz)
+SELECT row_id, {r('decision', 'anomaly_score')}, CAST(rank AS INTEGER) AS rank, feature, {r('abs(z)', 'abs_z')}, {r('z')} FROM tk WHERE rank <= 5"""
+    flagged = "SELECT row_id FROM ifx WHERE decision < 0"
+    risky = forest.rstrip("\n") + ",\n" + ",\n".join(risk_ctes("feat", set(feature_columns(keys)), flagged=flagged)) + "\n"
+    out["risk_scores_flagged"] = risky + _risk_select()
+    out["project_lookup_flagged"] = risky + f"""SELECT f.row_id, f.ProjectCode, f.ProjectName, f.ProjectType, f.Status,
+  {r('k.TotalRiskScore', 'TotalRiskScore')}, k.RiskLevel, {r('k.FinancialRisk', 'FinancialRisk')},
+  {r('k.EfficiencyRisk', 'EfficiencyRisk')}, {r('k.ComplexityRisk', 'ComplexityRisk')},
+  {r('k.TimelineRisk', 'TimelineRisk')}, {r('k.AnomalyRisk', 'AnomalyRisk')}, k.IsHighRisk, f.row_id IN ({flagged}) AS IsAnomaly,
+  {r('f.ContractPrice', 'ContractPrice')}, {r('f.TotalCost', 'TotalCost')}, {r('f.Profit', 'Profit')}
+  FROM feat f LEFT JOIN risk k ON f.row_id = k.row_id WHERE f.ProjectCode = (
+    SELECT ProjectCode FROM feat JOIN ifx ON feat.row_id = ifx.row_id ORDER BY decision, feat.row_id LIMIT 1)"""
     ecols = [f"e{i}" for i in range(EMB_DIMS)]
     n_emb_k = config.N_NEIGHBORS
     emb = with_(_emb_src(), *_scale_ctes("emb", ecols), *_lof_ctes(ecols, n_emb_k))
@@ -679,6 +744,21 @@ SELECT jt.feature, {r('sum((nby / n) * ln((nby * n) / (nb * ny)))', 'score')}
 FROM jt JOIN pb USING (feature, bin) JOIN py USING (feature, Success) JOIN nn USING (feature) GROUP BY jt.feature"""
     out["feature_mutual_information"] = mi
     out["selected_features_mi"] = f"SELECT * FROM ({mi}) ORDER BY score DESC NULLS LAST, feature LIMIT 20"
+    psi = lambda n: (f"(CASE WHEN {n} <= 16 THEN coalesce(list_sum(list_transform(range(1, CAST({n} AS BIGINT)), lambda j: CAST(1 AS DOUBLE) / j)), 0)"
+                     f" - 0.57721566490153286 ELSE ln({n}) - 1.0 / (2 * {n}) - 1.0 / (12.0 * {n} * {n}) + 1.0 / (120 * power({n}, 4))"
+                     f" - 1.0 / (252 * power({n}, 6)) END)")
+    near = base.rstrip("\n") + f""",
+{lg},
+pt AS (SELECT feature, Success AS y, CAST(round(val * 1000000000) AS BIGINT) AS v, count(*) OVER (PARTITION BY feature, Success) AS nc FROM lg),
+sl AS MATERIALIZED (SELECT *, least(3, nc - 1) AS k, {', '.join(f'lag(v, {j}) OVER w AS g{j}, lead(v, {j}) OVER w AS d{j}' for j in (1, 2, 3))}
+  FROM pt WHERE nc > 1 WINDOW w AS (PARTITION BY feature, y ORDER BY v)),
+rd AS (SELECT feature, v, nc, k, list_min(list_filter(CASE k WHEN 1 THEN [v - g1, d1 - v] WHEN 2 THEN [v - g2, v - g1 + d1 - v - least(v - g1, d1 - v), d2 - v]
+    ELSE [v - g3, v - g2 + d1 - v - least(v - g2, d1 - v), v - g1 + d2 - v - least(v - g1, d2 - v), d3 - v] END, lambda x: x IS NOT NULL)) AS r FROM sl),
+mc AS (SELECT *, count(*) OVER (PARTITION BY feature ORDER BY v RANGE BETWEEN greatest(r - 1, 0) PRECEDING AND greatest(r - 1, 0) FOLLOWING) AS m,
+              count(*) OVER (PARTITION BY feature) AS n FROM rd)
+SELECT feature, {r(f"greatest(avg({psi('n')}) + avg({psi('k')}) - avg({psi('nc')}) - avg({psi('m')}), 0)", 'score')} FROM mc GROUP BY feature"""
+    out["feature_mutual_information_neighbours"] = near
+    out["selected_features_neighbours"] = f"SELECT * FROM ({near}) ORDER BY score DESC NULLS LAST, feature LIMIT 20"
     fsql = base.rstrip("\n") + f""",
 {lg},
 per AS (SELECT feature, Success, count(*) AS nc, sum(val) AS sc, sum(val * val) AS qc FROM lg GROUP BY ALL),
@@ -709,6 +789,19 @@ rc AS (SELECT * FROM (VALUES {_row_color_values()}) t(row_no, Color))
 SELECT s.row_no, s.ProjectCode, 'GS' AS ProjectType, coalesce(rc.Color, 'Unknown') AS ColorCode,
        coalesce(CASE rc.Color {status} END, 'Unknown') AS Status, {r('s.ContractPrice', 'ContractPrice')}
 FROM sheet s LEFT JOIN rc ON s.row_no = rc.row_no"""
+    out["sheet_work_hours"] = with_(PROJ, WH) + """SELECT Date, Project, Stage, Department, Task,
+  CASE WHEN Hours > 49 THEN 0 ELSE Hours END AS Hours, ProjectCode FROM wh"""
+    out["sheet_projects"] = f"""WITH sheet AS (
+  SELECT *, o_orderpriority IN ('1-URGENT','2-HIGH') AS gs FROM orders),
+nr AS (SELECT *, row_number() OVER (PARTITION BY gs ORDER BY o_orderkey) AS row_no FROM sheet),
+rc AS (SELECT * FROM (VALUES {_row_color_values()}) t(row_no, Color))
+SELECT (CASE WHEN gs THEN 'GS' ELSE 'ISS' END) || CAST(o_orderkey AS VARCHAR) AS ProjectCode, 'Customer ' || CAST(o_custkey AS VARCHAR) AS ProjectName,
+       CASE WHEN gs THEN 'GS' ELSE 'ISS' END AS ProjectType,
+       {r('CASE WHEN o_orderkey % 20 = 0 THEN 0 ELSE o_totalprice END', 'ContractPrice')}, {r('o_totalprice / 2', 'PurchaseCost')},
+       CASE WHEN gs THEN coalesce(CASE rc.Color {status} END, 'Unknown') ELSE 'Unknown' END AS Status,
+       CASE WHEN gs THEN coalesce(rc.Color, 'Unknown') END AS ColorCode, nr.row_no,
+       nr.row_no + (CASE WHEN gs THEN 0 ELSE 1099511627776 END) AS row_id
+FROM nr LEFT JOIN rc ON gs AND nr.row_no = rc.row_no WHERE o_orderkey % 50 <> 7"""
     names = [c for c in feature_columns(keys) if c not in ("ProjectCode", "ProjectType", "Status", "Success",
                                                            "row_id", "row_no")]
     out["feature_summary"] = with_(PROJ, WH, PW, FS, *feature_ctes(keys)) + f"""SELECT {len(names)} AS total_features,

@@ -217,7 +217,9 @@ def _ensemble(s: SparkSession, d: str):
 
 
 def _model_queries() -> dict[str, Query]:
-    from tallyspark.operators.anomaly import ensemble, iforest, ocsvm
+    from tallyspark.operators.anomaly import ensemble, iforest, lof, matrix, ocsvm
+    from tallyspark.plans import reports
+    from tallyspark.session import cut_lineage, shared_folder
     q: dict[str, Query] = {}
 
     def model_matrix(s, d):
@@ -232,12 +234,51 @@ def _model_queries() -> dict[str, Query]:
         return round_doubles(ensemble.explain(X, [c for c in X.columns if c != "row_id"], flagged))
     q["anomaly_explanations"] = explanations
 
-    def forest_scores(s, d):
-        f, cols, matrix = _model_input(s, d)
-        vec = matrix.as_vector(matrix.prepare(f, cols), cols)
-        forest = iforest.fit(vec)
-        return iforest.decide(iforest.score(vec, forest), forest)
-    q["isolation_forest_scores"] = forest_scores
+    def forest_of(s, d):
+        """Features (built once), their scaled matrix, the forest over it and its decisions."""
+        f = cut_lineage(_features(s, d))
+        cols = feat.numeric_feature_names(f)
+        X = cut_lineage(matrix.prepare(f, cols))
+        forest = iforest.fit(matrix.as_vector(X, cols))
+        return f, cols, X, iforest.decide(forest.training, forest)
+    q["isolation_forest_scores"] = lambda s, d: round_doubles(forest_of(s, d)[-1])
+
+    def forest_flags(decisions):
+        return decisions.select(F.col("id").alias("row_id"), (F.col("decision") < 0).alias("IsAnomaly"))
+
+    def flagged_risk(s, d):
+        f, _, _, decisions = forest_of(s, d)
+        return f, decisions, cut_lineage(risk.calculate_risk_scores(f, forest_flags(decisions)))
+    q["risk_scores_flagged"] = lambda s, d: round_doubles(flagged_risk(s, d)[-1])
+
+    def lookup_flagged(s, d):
+        """P9 with the anomaly status of a single project: the one the forest isolates first."""
+        f, decisions, r = flagged_risk(s, d)
+        mart = reports.project_mart(f, r, forest_flags(decisions))
+        first = decisions.orderBy("decision", "id").limit(1).join(f, F.col("id") == F.col("row_id")).first()
+        return round_doubles(reports.project_lookup(mart, f, first["ProjectCode"]))
+    q["project_lookup_flagged"] = lookup_flagged
+
+    def forest_explained(s, d):
+        _, cols, X, decisions = forest_of(s, d)
+        own = decisions.where("decision < 0").select(F.col("id").alias("row_id"), "decision")
+        return round_doubles(ensemble.explain(X, cols, own, score_col="decision"))
+    q["forest_explanations"] = forest_explained
+
+    def halves(s, d):
+        """Features fitted on, and features held out: one project in five by its draw."""
+        f = cut_lineage(_features(s, d))
+        held = iforest.draw(F.col("row_id"), F.lit(0), 7) % 5 == 0
+        return f.where(~held), f.where(held), feat.numeric_feature_names(f)
+
+    def forest_new(s, d):
+        old, new, cols = halves(s, d)
+        scaler = cut_lineage(matrix.fit_scaler(old, cols))
+        vector = lambda f: matrix.as_vector(matrix.transform(f, cols, scaler, ["row_id"]), cols)
+        forest = iforest.fit(vector(old))
+        found = iforest.decide(iforest.score(vector(new), forest), forest)
+        return round_doubles(found.select(F.col("id").alias("row_id"), "decision", (F.col("label") == -1).alias("is_anomaly")))
+    q["forest_check_new"] = forest_new
 
     def svm_scores(s, d):
         f, cols, matrix = _model_input(s, d)
@@ -249,9 +290,26 @@ def _model_queries() -> dict[str, Query]:
     q["anomaly_method_report"] = lambda s, d: ensemble.method_report(_ensemble(s, d))
 
     def check_new(s, d):
-        ens = _ensemble(s, d)
-        return ensemble.check_new(ens, _features(s, d))
+        """Fitted on one part of the projects, written, read back, and held against the others."""
+        old, new, cols = halves(s, d)
+        path = shared_folder(s, "ensemble")
+        ensemble.save(ensemble.fit(old, cols), path)
+        return ensemble.check_new(ensemble.load(s, path), new)
     q["anomaly_check_new"] = check_new
+
+    def explained(s, d):
+        f = cut_lineage(_features(s, d))
+        cols = feat.numeric_feature_names(f)
+        ens = ensemble.fit(f, cols)
+        return round_doubles(ensemble.explain_by_method(ens, matrix.transform(f, cols, ens.scaler, ["row_id"])))
+    q["anomaly_explanations_by_method"] = explained
+
+    def lof_windows(s, d):
+        """Neighbours in linear work over the project matrix."""
+        f = cut_lineage(_features(s, d))
+        cols = feat.numeric_feature_names(f)
+        return round_doubles(lof.lof_labels(lof.lof_scores(matrix.as_vector(matrix.prepare(f, cols), cols), method="windows")))
+    q["lof_windows"] = lof_windows
     return q
 
 
@@ -293,6 +351,10 @@ def _impute_queries() -> dict[str, Query]:
         cols = feat.numeric_feature_names(f)
         return matrix.prepare(f, cols, target="Success"), cols
     q["feature_mutual_information"] = lambda s, d: round_doubles(selection.mutual_information(*prepared(s, d)))
+    q["feature_mutual_information_neighbours"] = lambda s, d: round_doubles(
+        selection.mutual_information(*prepared(s, d), method="neighbours"))
+    q["selected_features_neighbours"] = lambda s, d: selection.select_top(
+        round_doubles(selection.mutual_information(*prepared(s, d), method="neighbours")))
     q["feature_anova_f"] = lambda s, d: round_doubles(selection.anova_f(*prepared(s, d)))
     q["selected_features_mi"] = lambda s, d: selection.select_top(
         round_doubles(selection.mutual_information(*prepared(s, d))))
@@ -314,6 +376,27 @@ def _source_queries() -> dict[str, Query]:
         return round_doubles(shaped.select("row_no", "ProjectCode", "ProjectType", "ColorCode", "Status",
                                            "ContractPrice"))
     q["gs_sheet_status"] = gs_sheet
+
+    def exported(s, d):
+        """The given tables written as sheets of several files, and read back."""
+        from tallyspark.session import shared_folder
+        o = given.table(s, d, "orders")
+        urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+        blank = F.when(F.col("o_orderkey") % 50 != 7, F.col("o_orderkey").cast("string"))     # rows without a code are numbered, then dropped
+        price = F.when(F.col("o_orderkey") % 20 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
+        paths, files = {}, {}
+        for kind, rows in (("GS", urgent), ("ISS", ~urgent)):
+            sheet = o.where(rows).select("o_orderkey", F.concat(F.lit(kind), blank).alias("Project Code"), F.concat(F.lit("Customer "), "o_custkey").alias("Name"),
+                                         price.alias("Price"), (F.col("o_totalprice") / 2).cast("string").alias("Cost"), F.col("o_orderstatus").alias("extra"))
+            paths[kind] = shared_folder(s, f"sheet-{kind}")
+            files[kind] = sheets.export_sheet(sheet, paths[kind], "o_orderkey", 5)
+        work = given.work_hours(s, d).drop("ProjectCode")
+        hours = F.when(F.col("Hours") > 49, F.lit("?")).otherwise(F.col("Hours").cast("string"))
+        paths["work"] = shared_folder(s, "sheet-work")
+        sheets.export_sheet(work.withColumn("Hours", hours).withColumn("by", F.col("Project")), paths["work"], "by", 5)
+        return sheets.load_all(s, paths["work"], paths["GS"], paths["ISS"], gs_files=files["GS"], iss_files=files["ISS"])
+    q["sheet_work_hours"] = lambda s, d: round_doubles(exported(s, d)[0])
+    q["sheet_projects"] = lambda s, d: round_doubles(sheets.combine_projects(*exported(s, d)[1:]))
     return q
 
 

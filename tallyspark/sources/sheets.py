@@ -4,13 +4,17 @@ The workbook itself (a single-machine binary format) is not read; its sheets
 are read from exports.  Columns are renamed *by position* (S4), numbers are
 coerced leniently (P2), the GS sheet gets its colour / status by source row
 number (P4, J13) and rows without a project code are dropped after numbering
-(P5).  Row numbers come from the export when it carries them (several files
-need that, their order is not defined), otherwise from the order of the one
-file: position within the partition plus the rows of the partitions before.
+(P5).  Row numbers come from the export when it carries them, otherwise from
+the rows' places: an export may be one file or several in a given order, each
+read in as many blocks as Spark's reader cuts it into; the rows of all blocks are
+counted first, and a row's number is its place in its block plus the rows before.
+``export_*`` write sheets the way these readers expect them.
 """
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,24 +41,40 @@ def rename_by_position(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*df.columns[:len(names)]).toDF(*names)
 
 
-def with_row_numbers(df: DataFrame, col: str = "row_no") -> DataFrame:
-    """1-based source row numbers in file order, without gaps.
+def with_row_numbers(df: DataFrame, col: str = "row_no", files: list[str] | None = None) -> DataFrame:
+    """1-based source row numbers in file order, without gaps, for a frame that comes straight from a reader.
 
-    ``monotonically_increasing_id`` holds the partition in its high bits and the
-    position in its low 33; the counts per partition (one row each, of one file)
-    give the offsets.
+    ``files``: the names of the export's files in their order; without it there may be only one.
+    ``monotonically_increasing_id`` ascends within a block (a contiguous part of one file), so a row's
+    place is its distance from the block's least id; blocks, a row each, are counted and
+    summed up in order of file and offset.
     """
     if col in df.columns:
         return df
-    if len(df.inputFiles()) > 1:
-        raise ValueError(f"an export of several files needs a {col} column: their order is not defined")
-    numbered = df.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    out = numbered.withColumn("_part", part).join(F.broadcast(offsets), "_part")    # a row per partition
-    return out.select(*df.columns, (F.col("_offset") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).alias(col))
+    own = df.columns
+    placed = df.select("*", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("_file"),
+                       F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    present = sorted(path.rstrip("/").rsplit("/", 1)[-1] for path in df.inputFiles())
+    if files is None and len(present) > 1:
+        raise ValueError(f"an export of several files needs a {col} column or the order of its files")
+    if files is not None and sorted(files) != present:
+        raise ValueError(f"the order names {sorted(files)}, the export has {present}")
+    nth = F.array_position(F.array(*[F.lit(quote(f)) for f in files]), F.col("_file")) if files else F.lit(1)
+    blocks = placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_size"), F.min("_id").alias("_first"))
+    before = Window.orderBy(nth, "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    out = placed.join(blocks, ["_file", "_block"])                  # a row per block, 128 MB each by default
+    return out.select(*[F.col(f"`{c}`") for c in own], (F.col("_offset") + F.col("_id") - F.col("_first") + 1).alias(col))
+
+
+def export_sheet(sheet: DataFrame, path: str, order: str, files: int) -> list[str]:
+    """Write a sheet as CSV in ``files`` files by ranges of ``order``; returns their names in that order.
+
+    Each file has its rows sorted, so the files in this order hold the sheet in order.
+    """
+    sheet.repartitionByRange(files, order).sortWithinPartitions(order).drop(order) \
+        .write.option("header", True).option("emptyValue", "").csv(path)
+    return sorted(p.rsplit("/", 1)[-1] for p in sheet.sparkSession.read.text(path).inputFiles())
 
 
 def read_work_hours(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -85,14 +105,14 @@ def shape_projects(sheet: DataFrame, project_type: str, max_rows: int | None) ->
 
 
 def read_project_sheet(spark: SparkSession, path: str, project_type: str, fmt: str = "csv",
-                       max_rows: int | None = None) -> DataFrame:
-    """A GS or ISS project sheet export; all rows, or source rows 1 to ``max_rows``."""
+                       max_rows: int | None = None, files: list[str] | None = None) -> DataFrame:
+    """A GS or ISS project sheet export; all rows, or source rows 1 to ``max_rows``; ``files`` as in ``with_row_numbers``."""
     raw = _read(spark, path, fmt)
     if "row_no" in raw.columns:
         body = [c for c in raw.columns if c != "row_no"][:len(config.PROJECT_SHEET_COLUMNS)]
         df = raw.select(*body, F.col("row_no").cast("long")).toDF(*config.PROJECT_SHEET_COLUMNS, "row_no")
     else:
-        df = with_row_numbers(rename_by_position(raw, config.PROJECT_SHEET_COLUMNS))
+        df = with_row_numbers(rename_by_position(raw, config.PROJECT_SHEET_COLUMNS), files=files)
     return shape_projects(df, project_type, max_rows)
 
 
@@ -105,9 +125,9 @@ def combine_projects(gs: DataFrame, iss: DataFrame) -> DataFrame:
 
 
 def load_all(spark: SparkSession, work_hours_path: str, gs_path: str, iss_path: str,
-             fmt: str = "csv", gs_max_rows: int | None = None,
-             iss_max_rows: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+             fmt: str = "csv", gs_max_rows: int | None = None, iss_max_rows: int | None = None,
+             gs_files: list[str] | None = None, iss_files: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(work_hours, gs_projects, iss_projects) -- lazy plans, nothing read yet; all rows unless limited."""
     return (read_work_hours(spark, work_hours_path, fmt),
-            read_project_sheet(spark, gs_path, "GS", fmt, gs_max_rows),
-            read_project_sheet(spark, iss_path, "ISS", fmt, iss_max_rows))
+            read_project_sheet(spark, gs_path, "GS", fmt, gs_max_rows, gs_files),
+            read_project_sheet(spark, iss_path, "ISS", fmt, iss_max_rows, iss_files))

@@ -58,6 +58,34 @@ def test_row_numbers_leave_the_frame_alone(spark):
         sheets.with_row_numbers(spark.read.option("header", True).csv(d))
 
 
+def test_rows_of_several_files_in_a_given_order(spark):
+    d = tempfile.mkdtemp(prefix="tally-test-")
+    sizes = {"b.csv": 4000, "a.csv": 1, "empty.csv": 0, "c.csv": 7000}
+    start, order = 0, ["c.csv", "a.csv", "empty.csv", "b.csv"]
+    for name in order:
+        _write(os.path.join(d, name), ["a,_file"] + [f"{start + i},x" for i in range(1, sizes[name] + 1)])
+        start += sizes[name]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5k")
+    try:
+        got = sheets.with_row_numbers(spark.read.option("header", True).csv(d).select("a"), files=order)
+        assert got.where(F.col("a").cast("long") != F.col("row_no")).count() == 0 and got.count() == start
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(ValueError):
+        sheets.with_row_numbers(spark.read.option("header", True).csv(d), files=["a.csv"])
+
+
+def test_export_keeps_the_order(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="tally-test-"), "sheet")
+    df = spark.range(0, 5000).select(F.col("id").alias("by"), F.concat(F.lit("GS"), F.when(F.col("id") != 10, F.col("id"))).alias("code"),
+                                     F.lit("a, \"b\"").alias("name"), F.lit("1").alias("price"), F.lit("").alias("cost"))
+    files = sheets.export_sheet(df.orderBy(F.desc("by")), path, "by", 4)
+    assert len(files) == 4
+    back = {r["row_no"]: r for r in sheets.read_project_sheet(spark, path, "ISS", files=files).collect()}
+    assert len(back) == 4999 and 11 not in back
+    assert all(r["ProjectCode"] == f"GS{n - 1}" and r["ProjectName"] == 'a, "b"' and r["PurchaseCost"] == 0.0 for n, r in back.items())
+
+
 def test_work_hours_reader(spark):
     d = tempfile.mkdtemp(prefix="tally-test-")
     p = os.path.join(d, "wh.csv")
