@@ -148,9 +148,9 @@ class Automaton:
 
     def matches(self, words: bytes) -> list[tuple[str, int, int]]:
         """(label, first word, word after the last) of each accepted place, the longest per label and place."""
-        out = []
+        out, first, counted = [], -1, 0
         for m in self.begin.finditer(words):
-            at, first = m.end(), words.count(b" ", 0, m.end()) - 1
+            at, first, counted = m.end(), first + words.count(b" ", counted, m.end()), m.end()
             state, n, found = self.start, 0, {}
             while state and at < len(words):
                 end = words.index(b" ", at)
@@ -171,9 +171,10 @@ def base_places(words: bytes) -> list[tuple[int, str]]:
     out = []
     for phrase, label in BASE:
         needle = b" " + phrase.encode() + b" "
-        at = words.find(needle)
+        at, k, counted = words.find(needle), 0, 0
         while at >= 0:
-            out.append((words.count(b" ", 0, at), label))
+            k, counted = k + words.count(b" ", counted, at), at
+            out.append((k, label))
             at = words.find(needle, at + 1)
     return sorted(out)
 

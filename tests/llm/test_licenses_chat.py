@@ -146,3 +146,16 @@ def test_turn_order(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (2, 0, "assistant", "a"), (3, 0, "user", "u"), (3, 1, "user", "u")]
     got = op8.read_back(op8.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
     assert {r["conv_id"]: r["order_ok"] for r in got} == {1: True, 2: False, 3: False}
+
+
+def test_places_of_many_licences_in_one_text():
+    """Places are counted on from the hit before, so twice the hits take about twice the time, not four times."""
+    import time
+    seconds = []
+    for n in (100_000, 400_000):
+        words, count = op7.spaced(b"mit license " * n)
+        t0 = time.perf_counter()
+        places = op7.base_places(words)
+        seconds.append(time.perf_counter() - t0)
+        assert count == 2 * n and places == [(2 * k, "mit") for k in range(n)]
+    assert seconds[1] < 10 * seconds[0] + 0.5
