@@ -54,26 +54,23 @@ BASE_RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 16, "AKIA"),
     Rule("hex", 1, r"[0-9a-f]{32,}"),
 )
-#: More kinds of published credential formats.
+_KEY = r"[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_BREAK = r"(?:\s|\\[nr])"
+#: More kinds of published credential formats, each found whole.  A private key goes up to its END line; without one, over its
+#: header lines and base64 lines.
 MORE_RULES = (
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", needs="PRIVATE KEY-----"),
+    Rule("private_key", 2, rf"-----BEGIN {_KEY}(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END {_KEY}"
+         rf"|(?:{_BREAK}*+[A-Za-z-]++:\x20[^\r\n\\]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/=]{{20,}}+)*+"
+         rf"(?:{_BREAK}++[A-Za-z0-9+/]++={{0,2}}+(?=[\x20\t]*+(?:[\r\n]|\\[nr]|\Z)))?+(?:{_BREAK}++=[A-Za-z0-9+/]{{4}})?+)",
+         needs="PRIVATE KEY"),
     Rule("code_host", 1, r"gh[opsur]_[A-Za-z0-9]{36,}", needs="_"),
     Rule("chat_app", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", needs="xox"),
     Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", needs="eyJ"),
-    Rule("url_login", 1, r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]{1,100}:[^\s/:@]{1,100}@", needs="://"),
+    Rule("url_login", 2, r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]++:[^\s/:@]++@", needs="://"),
 )
 RULES = BASE_RULES + MORE_RULES
-_KEY = r"[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
-_BREAK = r"(?:\s|\\[nr])"
-#: The rules for redaction: where a rule of the query's SQL finds a part of a secret or none, the whole.  A private key goes
-#: up to its END line; without one, over its header lines and base64 lines.
-WHOLE_RULES = tuple({
-    "private_key": Rule("private_key", 2, rf"-----BEGIN {_KEY}(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END {_KEY}"
-                        rf"|(?:{_BREAK}*+[A-Za-z-]++:\x20[^\r\n\\]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/=]{{20,}}+)*+"
-                        rf"(?:{_BREAK}++[A-Za-z0-9+/]++={{0,2}}+(?=[\x20\t]*+(?:[\r\n]|\\[nr]|\Z)))?+(?:{_BREAK}++=[A-Za-z0-9+/]{{4}})?+)",
-                        needs="PRIVATE KEY"),
-    "url_login": Rule("url_login", 2, r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]++:[^\s/:@]++@", needs="://"),
-}.get(r.kind, r) for r in RULES)
+#: The pipeline's name for the same rules.
+WHOLE_RULES = RULES
 
 
 def rule_spans(text: Column, rule: Rule, rank: int) -> Column:

@@ -5,16 +5,27 @@ Written apart from the operators: patterns and constants stand in the SQL.
 
 from __future__ import annotations
 
+_HEAD = "[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_LINE = r"(?:\s|\\[nr])"
+#: Up to the END line with no five dashes before it; else over header lines, base64 lines, a short one that ends its line, a checksum.
+#: This kind of expression can't look ahead, so it takes in the break after a short line (cut off again below).
+_PRIVATE_KEY = (
+    f"-----BEGIN {_HEAD}(?:(?:[^-]|-[^-]|--[^-]|---[^-]|----[^-])*-----END {_HEAD}"
+    rf"|(?:{_LINE}*[A-Za-z-]+:\x20[^\r\n\\]*)*(?:{_LINE}*[A-Za-z0-9+/=]{{20,}})*"
+    rf"(?:{_LINE}+[A-Za-z0-9+/]+={{0,2}}[\x20\t]*(?:(?:[\r\n]|\\[nr])(?:{_LINE}*=[A-Za-z0-9+/]{{4}})?|\z)|{_LINE}+=[A-Za-z0-9+/]{{4}})?)")
+
+_AFTER_LINE = r"[\x20\t]*(?:[\r\n]|\\[nr])$"
+
 #: kind, pattern, group, least length of the group.
 _SECRETS = [
     ("assign", """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?[ ]*[:=][ ]*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     ("access", "AKIA[A-Z0-9]+", 0, 16),
     ("hex", "[0-9a-f]{32,}", 0, 32),
-    ("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+    ("private_key", _PRIVATE_KEY, 0, 0),
     ("code_host", "gh[opsur]_[A-Za-z0-9]{36,}", 0, 0),
     ("chat_app", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
     ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0),
-    ("url_login", r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]{1,100}:[^\s/:@]{1,100}@", 0, 0),
+    ("url_login", r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]+:[^\s/:@]+@", 0, 0),
 ]
 
 
@@ -27,7 +38,8 @@ def _secrets() -> str:
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({one}),
 i AS (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM m),
-s AS (SELECT n, rank, kind, length(part[k]) >= least AS kept, length(found[k]) AS size,
+s AS (SELECT n, rank, kind, length(part[k]) >= least AS kept,
+             length(CASE WHEN kind = 'private_key' THEN regexp_replace(found[k], '{_AFTER_LINE}', '') ELSE found[k] END) AS size,
              list_sum(list_transform(gap[1:k], lambda x: length(x)))
              + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0) AS start FROM i),
 a AS (SELECT n,
