@@ -96,6 +96,24 @@ def places(df: DataFrame, group: str, order: list[str]) -> DataFrame:
               .drop("_pid", "_off"))
 
 
+def filled_ranks(rt: DataFrame, fills: DataFrame) -> DataFrame:
+    """The rank table of the columns of ``rt`` with their nulls replaced, without ranking anything again.
+
+    ``fills``: (metric, fill, nulls), a row per metric.  Values above the fill move up by the nulls; the fill's own
+    value gets them, or becomes a value where there was none.
+    """
+    j = rt.join(F.broadcast(fills), "metric", "left")
+    nulls = F.coalesce("nulls", F.lit(0).cast("long"))
+    moved = j.select("metric", "value", (F.col("c") + F.when(F.col("value") == F.col("fill"), nulls).otherwise(0)).alias("c"),
+                     (F.col("before") + F.when(F.col("value") > F.col("fill"), nulls).otherwise(0)).alias("before"), (F.col("n") + nulls).alias("n"))
+    at = j.where(F.col("nulls") > 0).groupBy("metric", "fill", "nulls").agg(
+        F.coalesce(F.sum(F.when(F.col("value") < F.col("fill"), F.col("c"))), F.lit(0)).alias("before"),
+        F.max(F.col("value") == F.col("fill")).alias("there"), F.max("n").alias("n"))
+    new = at.where(~F.col("there") & F.col("fill").isNotNull()).select(
+        "metric", F.col("fill").alias("value"), F.col("nulls").alias("c"), "before", (F.col("n") + F.col("nulls")).alias("n"))
+    return moved.unionByName(new)
+
+
 def quantiles_from_ranks(rt: DataFrame, probs: dict[str, list[float]]) -> DataFrame:
     """Exact linear-interpolated quantiles ``(metric, p, q)`` from a rank table.
 

@@ -52,6 +52,7 @@ def threshold_counts(features: DataFrame) -> DataFrame:
     return out
 
 
+# FIXED VALUES: columns, quantiles and names of the source's thresholds (the last entry: truncated to int).
 SUGGESTED = [("CostRevenueRatio", 0.75, "cost_ratio_suggested", False),
              ("CostRevenueRatio", 0.90, "high_cost_ratio_suggested", False),
              ("NumDepartments", 0.75, "many_departments_suggested", True),

@@ -94,14 +94,17 @@ def collaboration(work_hours: DataFrame) -> DataFrame:
 
 def create_features(work_hours: DataFrame, projects: DataFrame,
                     key_departments: list[str] = config.KEY_DEPARTMENTS,
-                    windows: list[int] = config.TIME_WINDOWS, checkpoint: bool = True) -> DataFrame:
+                    windows: list[int] = config.TIME_WINDOWS, checkpoint: bool = True,
+                    base: DataFrame | None = None) -> DataFrame:
     """Projects (with the merged financial columns) -> feature table.
 
+    ``base``: the A9 aggregates, where ``work_hours`` are sums of cells (``work_state``).
+
     With ``checkpoint`` the joined per-project table is written to the
     checkpoint folder before the global z-score / median pass, which reads it
     three times (scalars, median, rows) -- lineage is cut once, not recomputed.
     """
-    f = projects.join(base_aggregates(work_hours), "ProjectCode", "left")
+    f = projects.join(base_aggregates(work_hours) if base is None else base, "ProjectCode", "left")
     # B5
     f = f.withColumn("CostRevenueRatio", ratio_zero_as_one("PurchaseCost", "ContractPrice"))
     f = f.withColumn("RevenuePerHour", ratio_zero_as_one("ContractPrice", "Hours_sum"))

@@ -1,10 +1,10 @@
 """Risk scoring (B12-B17) and the risk summaries.
 
-Plan shape.  Every global scalar the scorer needs (medians for filling,
-upper quantiles for thresholds) comes from one exact order-statistics pass
-(``functions.ordered``) and is attached as a one-row ``crossJoin``.  The
-percentile ranks of up to nine columns come from a second pass over an
-unpivoted (metric, value) table -- no single-partition window anywhere.  The
+Plan shape.  All order statistics of a run come from one rank table of the
+raw columns (``functions.ordered``): the medians that nulls are filled with, the
+percentile ranks of the filled columns -- the raw ranks, shifted by the
+nulls above the median -- and the upper quantile of the filled duration.
+Scalars are attached as one row; no single-partition window anywhere.  The
 components are then plain column arithmetic inside whole-stage codegen.
 
 Each sub-score is defined over optional columns: a term is added only when
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tallyspark import config
 from tallyspark.functions import ordered
 from tallyspark.functions.exprs import clip, first_argmax, risk_level, round_half_up
-from tallyspark.session import cut_lineage
+from tallyspark.session import cut_lineage, shuffle_partitions
 
 COMPONENTS = [c for c, _ in config.RISK_WEIGHTS]
 MEDIAN_FILLED = ["CostRevenueRatio", "ProfitMargin", "RevenuePerHour", "EfficiencyScore", "HoursPerTask",
@@ -48,6 +48,53 @@ def _sel(cond: Column, a, b) -> Column:
     return F.when(cond, a).otherwise(b)
 
 
+#: Columns that are ranked, and whether high values rank low.
+RANKED = {"CostRevenueRatio": False, "ProfitMargin": True, "RevenuePerHour": True, "EfficiencyScore": True, "HoursPerTask": False,
+          "WorkVariability": False, "NumDepartments": False, "NumTasks": False, "DepartmentDiversity": False}
+
+
+def _with_ranks(g: DataFrame, id_col: str, present: set[str]) -> DataFrame:
+    """``g`` with ``_r_`` (percentile ranks of the filled columns), the filled timeline columns and their upper quantile."""
+    key = lambda c: round_half_up(F.col(c).cast("double"), RANK_DECIMALS) if c in RANKED else F.col(c).cast("double")
+    ranked = [c for c in RANKED if c in present]
+    metrics = ranked + [c for c in MEDIAN_FILLED if c in present and c not in RANKED]
+    for c in ZERO_FILLED:
+        if c in present:
+            g = g.withColumn(f"_f_{c}", F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    if not metrics:
+        return g
+    long_df = ordered.unpivot(g, [id_col], {c: key(c) for c in metrics})
+    rt = cut_lineage(ordered.rank_table(long_df))
+    rows = g.agg(F.count(F.lit(1)).alias("rows"))
+    medians = ordered.quantiles_from_ranks(rt, {c: [0.5] for c in metrics if c not in ZERO_FILLED}).select("metric", F.col("q").alias("fill"))
+    # a row per metric that has any value
+    known = ordered.attach_scalars(rt.groupBy("metric").agg(F.max("n").alias("n")), rows)
+    fills = known.join(medians, "metric", "left").select(
+        "metric", F.when(F.col("metric").isin(ZERO_FILLED), F.lit(0.0)).when(F.col("metric").isin(ranked), round_half_up(F.col("fill"), RANK_DECIMALS))
+        .otherwise(F.col("fill")).alias("fill"), (F.col("rows") - F.col("n")).alias("nulls"))
+    fills = cut_lineage(fills)
+    full = cut_lineage(ordered.filled_ranks(rt, fills))
+    if "ProjectDuration" in present:
+        q = ordered.quantiles_from_ranks(full, {"ProjectDuration": [0.75]})
+        g = ordered.attach_scalars(g, q.agg(F.max("q").alias("_q75_f_ProjectDuration")))
+    for c in metrics:
+        if c not in RANKED:
+            g = ordered.attach_scalars(g, fills.where(F.col("metric") == c).agg(F.max("fill").alias("_fill"))) \
+                .withColumn(f"_f_{c}", F.coalesce(F.col(c).cast("double"), "_fill")).drop("_fill")
+    if not ranked:
+        return g
+    up, down = [c for c in ranked if not RANKED[c]], [c for c in ranked if RANKED[c]]
+    mid = F.col("before") + (F.col("c") + 1) / 2.0
+    pct = F.when(F.col("metric").isin(down), F.col("n") + 1 - mid).otherwise(mid) / F.col("n")
+    full = full.where(F.col("metric").isin(up + down)).withColumn("pct", pct)
+    parts = shuffle_partitions(g.sparkSession)
+    own = long_df.where(F.col("metric").isin(ranked)).join(F.broadcast(fills.select("metric", "fill")), "metric", "left") \
+        .select(id_col, "metric", F.coalesce("value", "fill").alias("value"))
+    joined = ordered.join_split_hot(own, full, ["metric", "value"], ["pct"], F.col("c") * parts > F.col("n"))
+    ranks = joined.groupBy(id_col).agg(*[F.max(F.when(F.col("metric") == c, F.col("pct"))).alias(f"_r_{c}") for c in ranked])
+    return g.join(ranks, id_col, "left")
+
+
 def _fill(features: DataFrame, present: set[str]) -> DataFrame:
     med_cols = [c for c in MEDIAN_FILLED if c in present]
     g = features
@@ -72,42 +119,21 @@ def calculate_risk_scores(features: DataFrame, anomaly_flags: DataFrame | None =
     """
     present = set(features.columns)
     has = lambda c: c in present
-    g = _fill(features, present)
-
-    # Global quantiles of the filled columns (computed in the rank pass when
-    # there is one, so both share a single order-statistics pass).
-    qspec: dict[str, list[float]] = {}
-    if has("ProjectDuration"):
-        qspec["_f_ProjectDuration"] = [0.75]
-    if mode == "threshold":
+    if mode == "percentile":
+        # the features feed the rank pass (twice) and the final join
+        g = _with_ranks(cut_lineage(features) if checkpoint else features, id_col, present)
+    else:
+        g = _fill(features, present)
+        qspec = {"_f_ProjectDuration": [0.75]} if has("ProjectDuration") else {}
         for c, ps in [("RevenuePerHour", [0.25]), ("HoursPerTask", [0.75]), ("NumTasks", [0.8]),
                       ("DepartmentDiversity", [0.1, 0.9])]:
             if has(c):
                 qspec[f"_f_{c}"] = ps
-    qname = lambda m, p: f"_q{int(round(p * 100))}{m}"
-    if qspec and mode != "percentile":
-        g = ordered.attach_scalars(g, ordered.quantile_row(g, qspec, name=qname))
-    if mode == "threshold" and has("EfficiencyScore"):
-        g = ordered.attach_scalars(g, g.agg(F.avg("_f_EfficiencyScore").alias("_eff_mu"),
-                                            F.stddev_samp("_f_EfficiencyScore").alias("_eff_sd")))
-
-    if mode == "percentile":
-        specs: dict[str, Column] = {}
-        for c, neg in [("CostRevenueRatio", False), ("ProfitMargin", True), ("RevenuePerHour", True),
-                       ("EfficiencyScore", True), ("HoursPerTask", False), ("WorkVariability", False),
-                       ("NumDepartments", False), ("NumTasks", False), ("DepartmentDiversity", False)]:
-            if has(c):
-                key = round_half_up(_f(c), RANK_DECIMALS)
-                specs[f"_r_{c}"] = -key if neg else key
-        if checkpoint:     # g feeds the rank pass (twice) and the final join
-            g = cut_lineage(g)
-        if specs or qspec:
-            ranks, qrow = ordered.pct_ranks_and_quantiles(
-                g, id_col, specs, {m: m for m in qspec}, qspec, name=qname)
-            if specs:
-                g = g.join(ranks, id_col, "left")
-            if qrow is not None:
-                g = ordered.attach_scalars(g, qrow)
+        if qspec:
+            g = ordered.attach_scalars(g, ordered.quantile_row(g, qspec, name=lambda m, p: f"_q{int(round(p * 100))}{m}"))
+        if has("EfficiencyScore"):
+            g = ordered.attach_scalars(g, g.agg(F.avg("_f_EfficiencyScore").alias("_eff_mu"),
+                                                F.stddev_samp("_f_EfficiencyScore").alias("_eff_sd")))
 
     zero = F.lit(0.0)
     # B12 financial
@@ -270,6 +296,7 @@ def high_risk_projects(risk: DataFrame, project_info: DataFrame, top_n: int = 10
                           first_argmax(COMPONENTS, [c.replace("Risk", "") for c in COMPONENTS]))
 
 
+# FIXED VALUES: category, severity, finding and action of the source's recommendations.
 RECOMMENDATIONS = [
     ("Financial Risk", "High", "projects with high financial risk",
      "Review cost estimation and pricing strategies"),

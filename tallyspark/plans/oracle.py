@@ -295,6 +295,7 @@ def features_sql(keys: list[str]) -> dict[str, str]:
     base = FEAT_BASE(keys)
     out = {}
     out["features"] = base + select_rounded(feature_columns(keys), "feat")
+    out["features_incremental"] = out["features"]
     out["feature_base_aggregates"] = base + select_rounded(["ProjectCode"] + [
         "Hours_sum", "Hours_mean", "Hours_std", "Hours_max", "Hours_min", "Hours_count",
         "Department_nunique", "Department_count", "Task_nunique"], "base")
@@ -500,9 +501,12 @@ def risk_sql(keys: list[str]) -> dict[str, str]:
   LEFT JOIN feat p ON t.ProjectCode = p.ProjectCode"""
     rules = ["FinancialRisk > 60", "ComplexityRisk > 60", "TimelineRisk > 60",
              "(FinancialRisk > 50 AND EfficiencyRisk > 50) OR (ComplexityRisk > 50 AND TimelineRisk > 50)"]
-    from tallyspark.operators.risk import RECOMMENDATIONS
+    texts = [("Financial Risk", "High", "projects with high financial risk", "Review cost estimation and pricing strategies"),
+             ("Complexity Risk", "Medium", "projects with high complexity", "Consider breaking down into smaller phases or adding PM resources"),
+             ("Timeline Risk", "Medium", "projects with timeline concerns", "Implement early-stage project acceleration protocols"),
+             ("Multiple Risk Factors", "Critical", "projects with multiple high risk factors", "Immediate review and intervention required")]
     parts = []
-    for i, (cond, (cat, sev, text, rec)) in enumerate(zip(rules, RECOMMENDATIONS)):
+    for i, (cond, (cat, sev, text, rec)) in enumerate(zip(rules, texts)):
         parts.append(f"""SELECT {i} AS seq, '{cat}' AS category, '{sev}' AS severity,
   CAST((SELECT count(*) FROM risk WHERE {cond}) AS VARCHAR) || ' {text}' AS finding, '{rec}' AS recommendation,
   (SELECT count(*) FROM risk WHERE {cond}) AS count,
@@ -545,9 +549,15 @@ def diagnostics_sql(keys: list[str]) -> dict[str, str]:
   (SELECT count_if((EfficiencyScore - mu) / sd < -1) FROM featx,
      (SELECT avg(EfficiencyScore) AS mu, stddev_samp(EfficiencyScore) AS sd FROM featx)) AS efficiency_z_below_minus_1
   FROM featx"""
-    from tallyspark.operators.diagnostics import CALIBRATED, SUGGESTED
-    parts = [f"SELECT '{k}' AS key, {r(f'floor(quantile_cont({c}, {p}))' if t else f'quantile_cont({c}, {p})', 'value')} FROM featx"
-             for c, p, k, t in SUGGESTED + CALIBRATED]
+    quant = {"cost_ratio_suggested": "quantile_cont(CostRevenueRatio, 0.75)", "high_cost_ratio_suggested": "quantile_cont(CostRevenueRatio, 0.9)",
+             "many_departments_suggested": "floor(quantile_cont(NumDepartments, 0.75))", "very_many_departments_suggested": "floor(quantile_cont(NumDepartments, 0.9))",
+             "cost_ratio_warning": "quantile_cont(CostRevenueRatio, 0.7)", "cost_ratio_critical": "quantile_cont(CostRevenueRatio, 0.85)",
+             "low_margin_threshold": "quantile_cont(ProfitMargin, 0.25)", "very_low_margin_threshold": "quantile_cont(ProfitMargin, 0.1)",
+             "low_efficiency_threshold": "quantile_cont(EfficiencyScore, 0.25)", "very_low_efficiency_threshold": "quantile_cont(EfficiencyScore, 0.1)",
+             "high_dept_count": "floor(quantile_cont(NumDepartments, 0.75))", "very_high_dept_count": "floor(quantile_cont(NumDepartments, 0.9))",
+             "high_task_count": "quantile_cont(NumTasks, 0.8)", "low_early_intensity": "quantile_cont(WorkIntensityEarly, 0.2)",
+             "very_low_early_intensity": "quantile_cont(WorkIntensityEarly, 0.1)"}
+    parts = [f"SELECT '{k}' AS key, {r(e, 'value')} FROM featx" for k, e in quant.items()]
     out["risk_thresholds"] = pipe + "\nUNION ALL\n".join(parts)
     out["risk_histogram"] = pipe + f"""SELECT CAST(g.bin AS INTEGER) AS bin, {r('lo + (g.bin - 1) * ((hi - lo) / 20)', 'lo')},
   {r('lo + g.bin * ((hi - lo) / 20)', 'hi')}, coalesce(n, 0) AS count
@@ -655,11 +665,11 @@ def models_sql(keys: list[str], feature_cols: list[str]) -> dict[str, str]:
     out = {}
     base = with_(PROJ, WH, PW, FS, *feature_ctes(keys), *_scale_ctes("feat", feature_cols))
     out["model_matrix"] = base + f"SELECT row_id, {', '.join(r(q(c), c) for c in feature_cols)} FROM mx"
-    forest = with_(PROJ, WH, PW, FS, *feature_ctes(keys), *_scale_ctes("feat", feature_cols), *_forest_ctes(feature_cols))
+    forest = with_(PROJ, WH, PW, FS, *feature_ctes(keys), *_scale_ctes("feat", feature_cols), *_forest_ctes(sorted(feature_cols)))
     out["isolation_forest_scores"] = forest + f"SELECT row_id AS id, {r('score')}, {r('decision')}, CASE WHEN decision < 0 THEN -1 ELSE 1 END AS label FROM ifx"
     held = f"{_draw('row_id', '0', 7)} % 5 = 0"
     split = with_(PROJ, WH, PW, FS, *feature_ctes(keys), *_scale_ctes("feat", feature_cols, fitted=f"NOT {held}"),
-                  *_forest_ctes(feature_cols, f"NOT {_draw('mx.row_id', '0', 7)} % 5 = 0"))
+                  *_forest_ctes(sorted(feature_cols), f"NOT {_draw('mx.row_id', '0', 7)} % 5 = 0"))
     out["forest_check_new"] = split + f"SELECT row_id, {r('decision')}, decision < 0 AS is_anomaly FROM ifx WHERE NOT fitted"
     top = " UNION ALL ".join(f"SELECT row_id, '{c}' AS feature, {q(c)} AS val FROM mx" for c in feature_cols)
     out["forest_explanations"] = forest.rstrip("\n") + f""",
@@ -683,6 +693,7 @@ SELECT row_id, {r('decision', 'anomaly_score')}, CAST(rank AS INTEGER) AS rank,
     n_emb_k = config.N_NEIGHBORS
     emb = with_(_emb_src(), *_scale_ctes("emb", ecols), *_lof_ctes(ecols, n_emb_k))
     out["lof_embeddings"] = emb + f"SELECT id, {r('lof')}, {r('negative_outlier_factor')}, label FROM lofl"
+    out["lof_embeddings_cells"] = out["lof_embeddings"]
     unpiv = " UNION ALL ".join(f"SELECT row_id, '{c}' AS feature, {c} AS val FROM mx" for c in ecols)
     out["anomaly_explanations"] = emb.rstrip("\n") + f""",
 lg AS ({unpiv}),

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import config
-from tallyspark.operators import finance, impute, risk, rules
+from tallyspark.operators import finance, impute, risk, rules, selection
 from tallyspark.operators import features as feat
 from tallyspark.plans import reports
 from tallyspark.session import cut_lineage
@@ -58,11 +58,15 @@ def run(work_hours: DataFrame, projects: DataFrame, departments: list[str] | Non
 
     ens = None
     flags = None
+    stages = ("detection", "selection") * models + ("price model",) * (impute_method == "model")
     tables: dict[str, DataFrame] = {}
     if models:
         from tallyspark.operators.anomaly import ensemble
         ens = ensemble.fit(features, feat.numeric_feature_names(features), knn_args=knn_args)
         flags = ensemble.consensus_flags(ens)
+        from tallyspark.operators.anomaly import matrix
+        tables["selected_features"] = selection.select_top(selection.mutual_information(
+            matrix.prepare(features, ens.cols, target="Success"), ens.cols, method="neighbours"))
         tables["anomaly_method_report"] = ensemble.method_report(ens)
         tables["consensus_anomalies"] = ensemble.consensus_anomalies(ens).join(
             features.select("row_id", "ProjectCode", "ProjectName", "Status", "ContractPrice"), "row_id", "left")
@@ -88,7 +92,7 @@ def run(work_hours: DataFrame, projects: DataFrame, departments: list[str] | Non
     fsum = reports.feature_summary(features)
     mart = reports.project_mart(features, scores, flags)
     lines = reports.report_lines(fsum, summary, hist, high, recs, tables.get("anomaly_method_report"), counts,
-                                 tables.get("consensus_anomalies"), ins, consensus_count)
+                                 tables.get("consensus_anomalies"), ins, consensus_count, stages)
     tables.update({
         "financial_summary": fs, "department_summary": dept, "features": features,
         "feature_summary": fsum, "cost_anomalies": cost, "efficiency_anomalies": eff,

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark import config
-from tallyspark.functions.exprs import round_doubles
+from tallyspark.functions.exprs import ratio_zero_as_one, round_doubles
 from tallyspark.operators import features as feat
 from tallyspark.operators import diagnostics as diag
 from tallyspark.operators import finance
@@ -85,6 +85,21 @@ def _feature_queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     wh = given.work_hours
     q["features"] = lambda s, d: round_doubles(_features(s, d))
+
+    def incremental(s, d):
+        """The feature table from a stored state of the older work rows and that of the newer ones; each row is read once."""
+        from tallyspark.operators import work_state
+        from tallyspark.session import cut_lineage, shared_folder
+        p, wh = _inputs(s, d)
+        newer = F.crc32(F.concat_ws("|", "Project", "Date")) % 4 == 0
+        path = shared_folder(s, "work-state")
+        fact = wh.select("ProjectCode", "Department", "Task", "Hours", "Date", newer.alias("newer"))
+        work_state.work_state(fact.where(~F.col("newer"))).write.parquet(path)
+        state = cut_lineage(work_state.merge(s.read.parquet(path), work_state.work_state(fact.where("newer"))))
+        rows = work_state.as_work_rows(state)
+        fs = finance.financial_summary(p, rows, DEPTS)
+        return round_doubles(feat.create_features(rows, finance.merge_financials(p, fs), KEYS, base=work_state.base_aggregates(state)))
+    q["features_incremental"] = incremental
     q["feature_base_aggregates"] = lambda s, d: round_doubles(feat.base_aggregates(wh(s, d)))
     q["feature_timeline"] = lambda s, d: round_doubles(feat.timeline(wh(s, d)))
     q["feature_department_mix"] = lambda s, d: round_doubles(feat.department_mix(wh(s, d), KEYS))
@@ -92,26 +107,32 @@ def _feature_queries() -> dict[str, Query]:
     return q
 
 
+def _cost_inputs(s: SparkSession, d: str) -> DataFrame:
+    """What B9 reads: the projects with their profit."""
+    p, wh = _inputs(s, d)
+    return finance.merge_financials(p, finance.financial_summary(p, wh, DEPTS))
+
+
+def _efficiency_inputs(s: SparkSession, d: str) -> DataFrame:
+    """What B10 reads: the projects with their tasks per hour."""
+    p, wh = _inputs(s, d)
+    base = feat.base_aggregates(wh).select("ProjectCode", ratio_zero_as_one("Task_nunique", "Hours_sum").alias("TasksPerHour"))
+    return p.select("row_id", "ProjectCode").join(base, "ProjectCode", "left")
+
+
 def _rule_queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
-    q["cost_anomalies"] = lambda s, d: round_doubles(rules.cost_anomalies(_features(s, d)).select(
+    q["cost_anomalies"] = lambda s, d: round_doubles(rules.cost_anomalies(
+        _cost_inputs(s, d).withColumn("CostRevenueRatio", ratio_zero_as_one("PurchaseCost", "ContractPrice"))).select(
         "row_id", "ProjectCode", "anomaly_type", "CostRevenueRatio", "Profit", "cost_ratio_deviation"))
-    q["efficiency_anomalies"] = lambda s, d: round_doubles(rules.efficiency_anomalies(_features(s, d)).select(
+    q["efficiency_anomalies"] = lambda s, d: round_doubles(rules.efficiency_anomalies(_efficiency_inputs(s, d)).select(
         "row_id", "ProjectCode", "anomaly_type", "TasksPerHour", "efficiency_zscore"))
     q["pattern_anomalies"] = lambda s, d: rules.pattern_anomalies(given.work_hours(s, d)).select(
         "ProjectCode", "anomaly_type", F.array_join("department_pattern", "|").alias("department_pattern"))
-
-    def counts(s, d):
-        f, wh = _features(s, d), given.work_hours(s, d)
-        return rules.anomaly_counts(rules.cost_anomalies(f), rules.efficiency_anomalies(f),
-                                    rules.pattern_anomalies(wh))
-    q["anomaly_counts"] = counts
-
-    def detail(s, d):
-        f = _features(s, d)
-        return round_doubles(rules.all_anomalies(rules.cost_anomalies(f), rules.efficiency_anomalies(f),
-                                                 rules.pattern_anomalies(given.work_hours(s, d))))
-    q["anomaly_details"] = detail
+    typed = lambda s, d: (rules.cost_anomalies(_cost_inputs(s, d)), rules.efficiency_anomalies(_efficiency_inputs(s, d)),
+                          rules.pattern_anomalies(given.work_hours(s, d)))
+    q["anomaly_counts"] = lambda s, d: rules.anomaly_counts(*typed(s, d))
+    q["anomaly_details"] = lambda s, d: round_doubles(rules.all_anomalies(*typed(s, d)))
     return q
 
 
@@ -202,12 +223,12 @@ def _model_input(s: SparkSession, d: str):
     return f, cols, matrix
 
 
-def _embeddings_lof(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _embeddings_lof(s: SparkSession, d: str, **knn_args) -> tuple[DataFrame, DataFrame]:
     from tallyspark.operators.anomaly import lof, matrix
     e = given.embeddings_matrix(s, d)
     cols = [c for c in e.columns if c not in ("row_id", "label")]
     X = matrix.prepare(e, cols)
-    return X, lof.lof_labels(lof.lof_scores(matrix.as_vector(X, cols)))
+    return X, lof.lof_labels(lof.lof_scores(matrix.as_vector(X, cols), **knn_args))
 
 
 def _ensemble(s: SparkSession, d: str):
@@ -227,6 +248,7 @@ def _model_queries() -> dict[str, Query]:
         return round_doubles(matrix.prepare(f, cols))
     q["model_matrix"] = model_matrix
     q["lof_embeddings"] = lambda s, d: round_doubles(_embeddings_lof(s, d)[1])
+    q["lof_embeddings_cells"] = lambda s, d: round_doubles(_embeddings_lof(s, d, cell_size=64, block=48)[1])    # many cells
 
     def explanations(s, d):
         X, labels = _embeddings_lof(s, d)
@@ -237,7 +259,7 @@ def _model_queries() -> dict[str, Query]:
     def forest_of(s, d):
         """Features (built once), their scaled matrix, the forest over it and its decisions."""
         f = cut_lineage(_features(s, d))
-        cols = feat.numeric_feature_names(f)
+        cols = sorted(feat.numeric_feature_names(f))        # draws choose features by place: by name, whatever the table's order
         X = cut_lineage(matrix.prepare(f, cols))
         forest = iforest.fit(matrix.as_vector(X, cols))
         return f, cols, X, iforest.decide(forest.training, forest)
@@ -269,7 +291,7 @@ def _model_queries() -> dict[str, Query]:
         """Features fitted on, and features held out: one project in five by its draw."""
         f = cut_lineage(_features(s, d))
         held = iforest.draw(F.col("row_id"), F.lit(0), 7) % 5 == 0
-        return f.where(~held), f.where(held), feat.numeric_feature_names(f)
+        return f.where(~held), f.where(held), sorted(feat.numeric_feature_names(f))
 
     def forest_new(s, d):
         old, new, cols = halves(s, d)

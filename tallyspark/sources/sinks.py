@@ -25,9 +25,3 @@ def write_project_analysis(mart: DataFrame, out_dir: str, name: str = "project_a
     path = f"{out_dir.rstrip('/')}/{name}"
     mart.write.mode("overwrite").option("header", True).csv(path)
     return path
-
-
-def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
-    """A stage table in the shared folder (also cuts lineage when read back)."""
-    df.write.mode("overwrite").format(fmt).save(path)
-    return path
