@@ -281,13 +281,16 @@ def occur_once(hashes: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def kept_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per row; the registered query."""
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     texts = texts_of(docs)
     anchors = texts.select("k1", "k2", "text").mapInArrow(_anchors, "h long, k1 long, k2 long, at int")
     single = stage(occur_once(anchors, ["h"], "single"), "single")
+    drop_shuffles(spark)        # those of the job that has just ended go only now that nothing refers to it
     windows = texts.join(single, ["k1", "k2"], "left").select("k1", "k2", "text", "single") \
         .mapInArrow(_windows, "h long, g long, k1 long, k2 long, at int")
     lone = stage(occur_once(windows, ["h", "g"], "lone"), "lone")
+    drop_shuffles(spark)
     marked = texts.join(single, ["k1", "k2"], "left").join(lone, ["k1", "k2"], "left")
     result = stage(marked.select("k1", "k2", "copies", "text", "single", "lone")
                    .mapInArrow(_kept, "k1 long, k2 long, n_words long, n_removed long, kept_sha256 string"), "kept")
