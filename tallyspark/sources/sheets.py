@@ -67,11 +67,13 @@ def with_row_numbers(df: DataFrame, col: str = "row_no", files: list[str] | None
     return out.select(*[F.col(f"`{c}`") for c in own], (F.col("_offset") + F.col("_id") - F.col("_first") + 1).alias(col))
 
 
-def export_sheet(sheet: DataFrame, path: str, order: str, files: int) -> list[str]:
-    """Write a sheet as CSV in ``files`` files by ranges of ``order``; returns their names in that order.
+def export_sheet(sheet: DataFrame, path: str, order: str, files: int, most_rows: int = 500_000) -> list[str]:
+    """Write a sheet as CSV in ``files`` files, or more of about ``most_rows`` rows, by ranges of ``order``; returns their names in that order.
 
-    Each file has its rows sorted, so the files in this order hold the sheet in order.
+    Each file has its rows sorted, so the files in this order hold the sheet in order. One task sorts and writes a
+    file, so their number grows with the rows.
     """
+    files = max(files, -(-sheet.count() // most_rows))
     sheet.repartitionByRange(files, order).sortWithinPartitions(order).drop(order) \
         .write.option("header", True).option("emptyValue", "").csv(path)
     return sorted(p.rsplit("/", 1)[-1] for p in sheet.sparkSession.read.text(path).inputFiles())
