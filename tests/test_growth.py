@@ -2,7 +2,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyspark.operators.anomaly import knn
+from tallyspark.operators.anomaly import iforest, knn
 from tallyspark.session import cut_lineage
 from tallyspark.sources import sheets
 
@@ -61,3 +61,13 @@ def test_sheets_of_more_rows_have_more_files(spark, tmp_path):
     assert len(sheets.export_sheet(sheet, str(tmp_path / "b"), "id", 2)) == 2
     rows = sheets.with_row_numbers(spark.read.option("header", True).csv(str(tmp_path / "a")), files=names).orderBy("row_no").collect()
     assert [r["code"] for r in rows] == [f"GS{i}" for i in range(1000)]
+
+
+def test_pools_are_drawn_in_arrow_batches_as_the_columns_draw(spark):
+    vec = spark.range(-40, 400).select("id", F.array(F.col("id").cast("double")).alias("v"))
+    vec = vec.unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS id, array(0D) AS v"))
+    got = iforest._sampled(vec, 440, 4, 30, 42)
+    for t in range(4):
+        own = sorted(r["id"] for r in got.where(F.col("tree") == t).collect())
+        want = vec.where("id IS NOT NULL").orderBy(iforest.draw(F.col("id"), F.lit(t), 42), "id").limit(30).collect()
+        assert own == sorted(r["id"] for r in want)
