@@ -50,15 +50,21 @@ def as_work_rows(state: DataFrame) -> DataFrame:
     return state.select(*GRAIN, (F.col("s").cast("double") / UNITS).alias("Hours"))
 
 
-def base_aggregates(state: DataFrame) -> DataFrame:
-    """A9 from the state, with the columns of ``features.base_aggregates``."""
+def base_sums(state: DataFrame) -> DataFrame:
+    """A9 without its distinct counts, which ``features.project_state`` has of the state's rows too."""
     per = state.groupBy("ProjectCode").agg(
         F.sum("s").cast("decimal(19,0)").alias("s"), F.sum("q").cast("decimal(28,0)").alias("q"), F.sum("n").alias("n"),
-        F.max("hi").alias("Hours_max"), F.min("lo").alias("Hours_min"), F.count_distinct("Department").alias("Department_nunique"),
-        F.coalesce(F.sum(F.when(F.col("Department").isNotNull(), F.col("rows"))), F.lit(0).cast("long")).alias("Department_count"),
-        F.count_distinct("Task").alias("Task_nunique"))
+        F.max("hi").alias("Hours_max"), F.min("lo").alias("Hours_min"),
+        F.coalesce(F.sum(F.when(F.col("Department").isNotNull(), F.col("rows"))), F.lit(0).cast("long")).alias("Department_count"))
     total, n = F.col("s").cast("double") / UNITS, F.col("n")
     spread = (n.cast("decimal(10,0)") * F.col("q") - F.col("s") * F.col("s")).cast("double")      # exact before the cast
     std = F.when(n > 1, F.sqrt(spread / (n * (n - 1).cast("double"))) / UNITS)
     return per.select("ProjectCode", total.alias("Hours_sum"), F.when(n > 0, total / n).alias("Hours_mean"), std.alias("Hours_std"),
-                      "Hours_max", "Hours_min", n.alias("Hours_count"), "Department_nunique", "Department_count", "Task_nunique")
+                      "Hours_max", "Hours_min", n.alias("Hours_count"), "Department_count")
+
+
+def base_aggregates(state: DataFrame) -> DataFrame:
+    """A9 from the state, with the columns of ``features.base_aggregates``."""
+    found = state.groupBy("ProjectCode").agg(F.count_distinct("Department").alias("Department_nunique"), F.count_distinct("Task").alias("Task_nunique"))
+    return base_sums(state).join(found, "ProjectCode").select("ProjectCode", "Hours_sum", "Hours_mean", "Hours_std", "Hours_max", "Hours_min", "Hours_count",
+                                                              "Department_nunique", "Department_count", "Task_nunique")
