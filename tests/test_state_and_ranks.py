@@ -87,3 +87,17 @@ def test_ranks_of_repeated_and_null_ids(spark):
     sdf = spark.createDataFrame([(1, 1.0), (1, 3.0), (None, 2.0), (2, None), (3, float("nan"))], "id long, x double")
     got = {r["id"]: r["x"] for r in ordered.pct_ranks(sdf, "id", {"x": "x"}).collect()}
     assert got == {1: 1.0, None: 2 / 3, 2: None, 3: None}
+
+
+def test_scatter_pairs_rank_the_features_not_their_join(spark, tmp_path):
+    """Repeated orders make repeated rows, which the join with the summary multiplies; the scores are those of the features."""
+    from tallyspark.operators import risk
+    from tallyspark.plans import registry
+    src, out = "/root/testdata/sf0.001", str(tmp_path)
+    for name in ("lineitem", "part", "orders"):
+        t = spark.read.parquet(f"{src}/{name}.parquet").limit(2000)
+        (t.unionByName(t.where("o_orderkey % 7 = 0")) if name == "orders" else t).write.parquet(f"{out}/{name}.parquet")
+    f = registry._features(spark, out)
+    want = {(r["row_id"], round(r["FinancialRisk"], 4)) for r in risk.calculate_risk_scores(f).collect()}
+    got = registry.queries()["risk_scatter_pairs"](spark, out).where("pair = 'CostRevenueRatio:FinancialRisk'")
+    assert {(r["row_id"], round(r["y"], 4)) for r in got.collect()} == want
